@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.llm import exact_dedup, feistel_shards
+import public_tokenizers
+
+from memloom.llm import exact_dedup, feistel_shards, mixing, packed_ids
 from memloom.llm.shared import table
 
 
@@ -11,10 +13,20 @@ def op2_shards(spark, sf_dir):
     return feistel_shards.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_packed_ids(spark, sf_dir):
+    """Token ids of all documents, written in packed files and read back."""
+    return packed_ids.pack_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_mix_sources(spark, sf_dir):
+    """How much of each document a mix of the sources by weights 5, 2, 1 takes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     """The groups of equal texts of all documents, by a tree merge of digest runs."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op10_exact_dedup)}
-ORACLES = {"op2_shards": feistel_shards.sql(16), "op10_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op2_shards, op3_packed_ids, op6_mix_sources, op10_exact_dedup)}
+ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op10_exact_dedup": exact_dedup.SQL}
