@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from memloom.llm import exact_dedup, feistel_shards, mixing, packed_ids
+from memloom.llm import decontaminate, exact_dedup, feistel_shards, jaccard_join, mixing, packed_ids
 from memloom.llm.shared import table
 
 
@@ -18,15 +18,25 @@ def op3_packed_ids(spark, sf_dir):
     return packed_ids.pack_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    """The benchmark items found, within an edit budget, in all documents."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark, sf_dir):
     """How much of each document a mix of the sources by weights 5, 2, 1 takes."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    """The classes of documents linked by 85 % of common 4-word shingles."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_exact_dedup(spark, sf_dir):
     """The groups of equal texts of all documents, by a tree merge of digest runs."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_packed_ids, op6_mix_sources, op10_exact_dedup)}
-ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op10_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op2_shards, op3_packed_ids, op4_decontaminate, op6_mix_sources, op8_jaccard_join, op10_exact_dedup)}
+ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
