@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from memloom.llm import decontaminate, exact_dedup, feistel_shards, jaccard_join, mixing, packed_ids
+from memloom.llm import (
+    chained_passages,
+    decontaminate,
+    exact_dedup,
+    feistel_shards,
+    fuzzy_lines,
+    jaccard_join,
+    langid_crf,
+    mixing,
+    packed_ids,
+)
 from memloom.llm.shared import table
 
 
+def op1_language_id(spark, sf_dir):
+    """The language of every document, by a conditional random field learned from those not held out."""
+    return langid_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark, sf_dir):
     """All documents dealt to 16 shards by a keyed permutation of their row numbers."""
     return feistel_shards.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -28,15 +43,25 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark, sf_dir):
+    """Passages of 50 words or more that repeat, but for edits, across all documents."""
+    return chained_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     """The classes of documents linked by 85 % of common 4-word shingles."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_fuzzy_lines(spark, sf_dir):
+    """What fuzzy line deduplication leaves of every document."""
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     """The groups of equal texts of all documents, by a tree merge of digest runs."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_packed_ids, op4_decontaminate, op6_mix_sources, op8_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup)}
 ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
