@@ -14,6 +14,7 @@ from memloom.llm import (
     langid_crf,
     mixing,
     packed_ids,
+    surrogates,
 )
 from memloom.llm.shared import table
 
@@ -38,6 +39,11 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_surrogates(spark, sf_dir):
+    """All documents with personal data and secrets replaced by keyed surrogates."""
+    return surrogates.surrogate_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark, sf_dir):
     """How much of each document a mix of the sources by weights 5, 2, 1 takes."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -63,5 +69,5 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op5_surrogates, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup)}
 ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
