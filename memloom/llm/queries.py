@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from memloom.llm import (
@@ -69,5 +70,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op5_surrogates, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup)}
+def pipeline(spark, sf_dir):
+    """The places in shards of what the corpus pipeline keeps of all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op5_surrogates, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup, pipeline)}
 ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
