@@ -6,13 +6,15 @@ order of shingles the prefixes of n - ceil(t * n) + m shingles of both share m o
 
 1. Order.  Shingles that repeat within pieces of the input get a score, the sum of their local
    counts; the prefixes take shingles without a score first, frequent ones last.
-2. Prefixes of up to ``MATCHES`` required matches are indexed.  A shingle in one prefix only
-   links nothing.  Each set then chooses its own number of required matches m: the candidates
-   that scanning its shared prefix shingles yields, and those left to verify (no more than
-   scanned / m), weigh against each other; if for any m fewer than m of its prefix shingles are
-   shared, nothing can be similar to it.  A pair must share min(m1, m2) prefix shingles.
+2. Prefixes for up to ``most_matches`` required matches are indexed.  A shingle in one prefix
+   only links nothing.  Each set then chooses its own number of required matches m: the entries
+   that scanning its shared prefix shingles yields, and the candidates left to verify (no more
+   than scanned / m), weigh against each other; if for any m fewer than m of its prefix shingles
+   are shared, nothing can be similar to it, and it leaves; the others' counts fall, and the
+   choice is made again ``ROUNDS`` times.  A pair must share min(m1, m2) prefix shingles.
 3. Sets connected through prefix shingles form clusters (by distributed union-find over star
-   edges, so no list is expanded to pairs).  A cluster's sets are dealt to blocks and each two
+   edges, so no list is expanded to pairs).  A cluster's sets are dealt to size classes so wide
+   that similar sets lie in one or two neighbouring ones, and large classes to blocks.  Two
    blocks meet in one task, which runs the same join in memory, ordered by the exact counts
    there, verifies every candidate on the whole sets, counts links, and returns a spanning
    forest of them.
@@ -21,6 +23,7 @@ order of shingles the prefixes of n - ceil(t * n) + m shingles of both share m o
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +36,12 @@ from pyspark.sql import functions as F
 from memloom.llm.shared import Scratch, checked_broadcast, components, parallelism
 from memloom.llm.word_hashes import mix, shingle_sets, slices
 
-#: Most matches a prefix may be lengthened for.
-MATCHES = 4
+#: Most matches a prefix may be lengthened for: so many, or this percentage of the set.
+MATCHES, MATCHES_PERCENT = 4, 8
+#: Numbers of required matches to choose from, as far as a set's most matches allow.
+CHOICES = [2**i for i in range(13)]
+#: How often sets that nothing can be similar to are taken out before clusters form.
+ROUNDS = 2
 #: Cost of verifying a candidate, in scanned index entries.
 VERIFY_COST = 8
 #: Scored shingles, at most: the score to be in the order grows with the input so that this holds.
@@ -50,6 +57,10 @@ def least_shared(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def most_matches(n: int) -> int:
+    return max(MATCHES, n * MATCHES_PERCENT // 100)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
@@ -92,7 +103,7 @@ def _prefixes(k: int, percent: int, scored):
                 n.append(len(s))
                 d1.append(np.sum(mix(s), dtype=np.uint64))
                 d2.append(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-                length = len(s) - least_shared(len(s), percent) + MATCHES
+                length = len(s) - least_shared(len(s), percent) + most_matches(len(s))
                 if len(hashes) and len(s):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     score = np.where(hashes[at] == s, scores[at], 0)
@@ -112,7 +123,9 @@ def required_matches(shared: dict[int, int], n: int, percent: int) -> int:
     """The number of matches to require of a set of n shingles; 0 if nothing can be similar to it.
     shared: of its prefix, the positions that other prefixes share, with how many others do."""
     best, cheapest = 0, None
-    for m in range(1, MATCHES + 1):
+    for m in CHOICES:
+        if m > most_matches(n):
+            break
         length = n - least_shared(n, percent) + m
         found = [c for at, c in shared.items() if at < length]
         if len(found) < m:
@@ -123,18 +136,22 @@ def required_matches(shared: dict[int, int], n: int, percent: int) -> int:
     return best
 
 
-def _required_matches(percent: int) -> Column:
-    """The same over columns n, pos, others of one set's shared prefix entries, as an aggregate."""
-    n = F.first("n")
-    tight = (n * percent + 99 - F.pmod(n * percent + 99, F.lit(100))) / 100
-    entries = F.collect_list(F.struct("pos", "others"))  # no longer than the set's own prefix
+def _required_matches(entries: DataFrame, percent: int) -> DataFrame:
+    """The same over entries (rep, n, pos, others): (rep, m), without the sets for which m is 0."""
+    n = F.col("n")
+    tight = F.expr(f"n - ((n * {percent} + 99) div 100)")
+    most = F.greatest(F.lit(MATCHES), F.expr(f"(n * {MATCHES_PERCENT}) div 100"))
+    entries = entries.withColumn("over", F.col("pos") - tight)  # within the prefix for m matches if below m
+    sums = [F.count(F.when(F.col("over") < m, 1)).alias(f"found{m}") for m in CHOICES]
+    sums += [F.sum(F.when(F.col("over") < m, F.col("others")).otherwise(0)).alias(f"scan{m}") for m in CHOICES]
+    by_set = entries.groupBy("rep", "n").agg(*sums).withColumn("most", most)
+    none = F.lit(False)
     options = []
-    for m in range(1, MATCHES + 1):
-        inside = F.filter(entries, lambda e: e["pos"] < n - tight + m)  # noqa: B023
-        cost = F.aggregate(inside, F.lit(0.0), lambda t, e: t + e["others"]) * (1 + VERIFY_COST / m)
-        options.append(F.struct((F.size(inside) < m).alias("none"), cost.alias("cost"), F.lit(m).alias("m")))
-    options = F.array(*options)
-    return F.when(F.exists(options, lambda o: o["none"]), F.lit(0)).otherwise(F.array_min(F.transform(options, lambda o: F.struct(o["cost"], o["m"])))["m"])
+    for m in CHOICES:
+        allowed = F.col("most") >= m
+        none = none | (allowed & (F.col(f"found{m}") < m))
+        options.append(F.when(allowed, F.struct((F.col(f"scan{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))))
+    return by_set.where(~none).select("rep", F.least(*options)["m"].alias("m"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -155,7 +172,7 @@ def join_block(left: list[int], right: list[int] | None, ids: list[int], sets: l
     for i in members:
         s = sets[i]
         c = counts[np.searchsorted(tokens, s)]
-        order = np.lexsort((s, c))[: len(s) - least_shared(len(s), percent) + MATCHES]
+        order = np.lexsort((s, c))[: len(s) - least_shared(len(s), percent) + most_matches(len(s))]
         others = c[order] - 1
         shared = {int(p): int(o) for p, o in enumerate(others) if o}
         matches[i] = required_matches(shared, len(s), percent)
@@ -199,10 +216,10 @@ def _verify(k: int, percent: int):
 
     def run(rows: pa.Table) -> pa.Table:
         sets = shingle_sets(rows.column("text").cast(pa.binary()).to_pylist(), k)
-        ids, weights, block = rows.column("doc_id").to_pylist(), rows.column("weight").to_pylist(), rows.column("block").to_pylist()
-        first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left = [x for x in range(len(ids)) if block[x] == first]
-        right = None if first == second else [x for x in range(len(ids)) if block[x] == second]
+        ids, weights = rows.column("doc_id").to_pylist(), rows.column("weight").to_pylist()
+        sides = rows.column("side").to_pylist()
+        left = [x for x in range(len(ids)) if sides[x] < 1]
+        right = [x for x in range(len(ids)) if sides[x] == 1] if rows.column("between")[0].as_py() else None
         forest, degree = join_block(left, right, ids, sets, weights, percent) if left and right != [] else ([], {})
         empty = [None] * len(forest)
         return pa.table(
@@ -244,29 +261,53 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = scratch.table(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("weight")).where("rep is not null"), "classes")
     chosen = rows.join(classes, same).where("doc_id = rep")
     entries = chosen.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    entries = scratch.table(entries, "entries")
+    entries = scratch.table(entries, "entries")  # read twice below
     lists = entries.groupBy("h").agg((F.count("*") - 1).alias("others")).where("others > 0")
     shared = scratch.table(entries.join(lists, "h"), "shared")
     scratch.drop(entries)
 
-    asked = shared.groupBy("rep").agg(F.first("n").alias("n0"), _required_matches(percent).alias("m")).where("m > 0")
-    index = shared.join(asked.select("rep", "m"), "rep").where(f"pos < n - floor((n * {percent} + 99) / 100) + m")
-    index = scratch.table(index.select("rep", "n", "h"), "index")
-    heads = index.groupBy("h").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-    edges = index.join(heads, "h").where("rep <> head").select("rep", "head").distinct()
+    for left in reversed(range(ROUNDS + 1)):
+        alive = shared.join(_required_matches(shared, percent), "rep")
+        if not left:  # the choice is final: each set keeps its own prefix
+            alive = alive.where(f"pos < n - ((n * {percent} + 99) div 100) + m")
+        alive = scratch.table(alive.select("rep", "n", "pos", "h"), "alive")
+        lists = alive.groupBy("h").agg((F.count("*") - 1).alias("others")).where("others > 0")
+        scratch.drop(shared)
+        shared = scratch.table(alive.join(lists, "h"), "shared")
+        scratch.drop(alive)
+    heads = shared.groupBy("h").agg(F.min("rep").alias("head"))
+    edges = shared.join(heads, "h").where("rep <> head").select("rep", "head").distinct()
     clusters = components(scratch, edges, "rep", "head")
 
-    placed = clusters.join(index.groupBy("rep").agg(F.first("n").alias("n")), F.col("node") == F.col("rep")).select("rep", "n", "component")
-    placed = scratch.table(placed, "placed")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = placed.join(sizes.withColumn("blocks", blocks), "component").join(classes.select("rep", "weight"), "rep")
-    dealt = scratch.table(dealt.select("rep", "component", "weight", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")), "dealt")
+    placed = clusters.join(shared.groupBy("rep").agg(F.first("n").alias("n")), F.col("node") == F.col("rep"))
+    # similar sets differ by a factor of 100 / percent at most, so by one class at most; classes are a little wider
+    width = math.log(100 / max(1, percent - 1))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int") if percent > 1 else F.lit(0)
+    placed = scratch.table(placed.select("rep", "n", "component", size_class.alias("class")), "placed")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = scratch.table(placed.groupBy("component", "class").agg(blocks.alias("blocks"), F.count("*").alias("sets")), "sizes")
+
+    def near(step: int) -> DataFrame:
+        return sizes.select("component", (F.col("class") - step).alias("class"), F.col("blocks").alias("after" if step > 0 else "before"))
+
+    dealt = placed.join(sizes, ["component", "class"]).join(near(1), ["component", "class"], "left").join(near(-1), ["component", "class"], "left")
+    dealt = dealt.where("sets > 1 or after is not null or before is not null").join(classes.select("rep", "weight"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    dealt = scratch.table(dealt.select("rep", "component", "class", "weight", "sets", "blocks", "before", "after", block), "dealt")
     known = checked_broadcast(dealt)
     wanted = docs.join(known, docs["doc_id"] == known["rep"]).drop("rep")
-    tasks = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "weight", "text")
-    found = scratch.table(tasks.groupBy("component", "i", "j").applyInArrow(_verify(k, percent), _LINKS), "links")
+
+    def up_to(count) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    own = F.transform(up_to("blocks"), lambda o: F.struct(F.col("class").alias("c"), F.col("class").alias("d"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(o == F.col("block"), -1).when(F.col("block") < o, 0).otherwise(1).alias("side")))
+    on = F.transform(up_to("after"), lambda o: F.struct(F.col("class").alias("c"), (F.col("class") + 1).alias("d"), F.col("block").alias("i"), o.alias("j"), F.lit(0).alias("side")))
+    back = F.transform(up_to("before"), lambda o: F.struct((F.col("class") - 1).alias("c"), F.col("class").alias("d"), o.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    none = F.array().cast("array<struct<c:int,d:int,i:int,j:int,side:int>>")
+    tasks = F.concat(F.when(F.col("sets") > 1, own).otherwise(none), F.coalesce(on, none), F.coalesce(back, none))
+    tasks = wanted.withColumn("task", F.explode(tasks)).select("component", "task.c", "task.d", "task.i", "task.j", "task.side", "doc_id", "weight", "text")
+    tasks = tasks.withColumn("between", F.expr("c <> d or i <> j"))
+    found = scratch.table(tasks.groupBy("component", "c", "d", "i", "j").applyInArrow(_verify(k, percent), _LINKS), "links")
     linked = components(scratch, found.where("a is not null").select("a", "b"), "a", "b")
     degrees = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
 
