@@ -14,6 +14,7 @@ so an id's place is found from its number alone; numpy unpacks whole blocks.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from memloom.llm.shared import Scratch, parallelism
 MAGIC = b"MLPACK01"
 BLOCK_IDS = 1 << 16
 END_ID = 1
-#: Chunks between white space whose ids a worker remembers at most; the memory is emptied when full.
+#: Chunks between white space whose ids a worker remembers at most, twice.
 REMEMBERED = 150_000
 _FOOTER = struct.Struct("<QQQ8s")
 _HEADER = struct.Struct("<8sII")
@@ -141,53 +143,84 @@ class Reader:
             i = j
 
 
-class WordIds:
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class WordIds(dict):
     """Ids of whole texts by the tokenizer, which drops white space, so that chunks between
-    ASCII white space have the same ids alone as in the text; chunks seen before are looked up."""
+    ASCII white space have the same ids alone as in the text; chunks seen before are looked up.
+
+    The mapping itself is the young generation of chunks; when it is full it becomes the old
+    one, and what is asked for again moves back, so that frequent chunks stay.  A run of
+    Latin letters is a single word to the tokenizer and goes to its model at once, and so is
+    the run of ASCII punctuation behind it; all other chunks go the whole way.
+    """
+
+    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remembered = remembered
+        self.letters = _byte_letters()
+        self.marks = {m: self.whole(m) for m in (".", ",")}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, many in one call: their tokens are told apart by character offsets."""
-        for i in range(0, len(chunks), 2000):
-            part = chunks[i : i + 2000]
-            ends = np.cumsum([len(c) + 1 for c in part])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            cuts = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), ends)
-            first = 0
-            for chunk, last in zip(part, cuts):
-                self.known[chunk] = ids[first:last].tobytes()
-                first = last
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            found = self._PLAIN.fullmatch(chunk)
+            if found:
+                word, mark = found.groups()
+                word = word.lower()
+                ids = self.get(word) or self.old.get(word) or self._word(word)
+                if mark:
+                    self[word] = ids
+                    if mark not in self.marks and len(self.marks) < 10_000:
+                        self.marks[mark] = self.whole(mark)
+                    ids += self.marks.get(mark) or self.whole(mark)
+            else:
+                ids = self.whole(chunk)
+        self[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a run of Latin letters, all precomposed: only lower case and the byte alphabet are between it and the model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]  # white space to Python, not to the tokenizer
-        split = [t.split() if p else [] for t, p in zip(texts, plain)]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.remembered:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(sorted(new))
-        known, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
-        out = []
-        for text, chunks, p in zip(texts, split, plain):
-            if p:
-                data = b"".join(map(known, chunks))
+        if len(self) > self.remembered:
+            self.old = dict(self)
+            self.clear()
+        known, end, out = self.__getitem__, struct.pack("<I", END_ID), []
+        for text in texts:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
+                data = self.whole(text)
             else:
-                data = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                data = b"".join(map(known, text.split()))
             out.append(np.frombuffer(data + end, "<u4"))
         return out
 
 
+#: What a worker process remembers from task to task.
+_coders: dict[str, WordIds] = {}
+
+
 def _write(tokenizer: str, folder: str, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -199,8 +232,8 @@ def _write(tokenizer: str, folder: str, block_ids: int):
         name, writer, coder = f"{uuid.uuid4().hex}.ids", None, None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts.value_lengths().to_pylist() if hasattr(texts, "value_lengths") else [len(t or "") for t in texts.to_pylist()], lambda n: n or 0, 1 << 20):
-                coder = coder or WordIds(tokenizer)
+            for a, b in slices(pa.compute.binary_length(texts.cast(pa.binary())).to_pylist(), lambda n: n or 0, 1 << 20):
+                coder = _coders.get(tokenizer) or _coders.setdefault(tokenizer, WordIds(tokenizer))
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     writer = Writer(store.open_output_stream(f"{base}/{name}"), bits_for(coder.vocabulary()), block_ids)
