@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vec
 from memloom.operators.embed import Embedder, embed_distinct
+from memloom.operators.settle import settled
 
 
 def numbered(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataFrame:
@@ -15,7 +16,7 @@ def numbered(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataF
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_at", F.monotonically_increasing_id()).checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else ranged.withColumn("_at", F.monotonically_increasing_id()).persist()
+    placed = settled(ranged.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at") - F.shiftleft("_part", 33))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.graph import laplacian, matrix_vector
+from memloom.operators.settle import settled
 
 #: Nodes up to which the matrix is solved on the driver: dense, 128 MB at most.
 DENSE_NODES = 4_000
@@ -46,10 +47,10 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, steps: int = 40, s
     Basis vectors are columns of a checkpointed table keyed by node; the driver holds the small
     tridiagonal matrix only.
     """
-    matrix = laplacian(nodes, edges).checkpoint()
+    matrix = settled(laplacian(nodes, edges))
     start = nodes.select(F.col("note_id").alias("i"), (F.xxhash64("note_id", F.lit(seed)) / F.lit(float(1 << 63))).alias("x"))
     length = float(start.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0])
-    basis = start.select("i", F.array(F.col("x") / length).alias("q")).checkpoint()
+    basis = settled(start.select("i", F.array(F.col("x") / length).alias("q")))
     alpha, beta = [], []
     for m in range(steps):
         v = basis.select("i", F.element_at("q", -1).alias("x"))
@@ -61,12 +62,12 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, steps: int = 40, s
             part = F.lit(0.0)
             for n in range(m + 1):
                 part = part + F.get("q", F.lit(n)) * float(sums[n])
-            w = w.withColumn("w", F.col("w") - part).checkpoint()
+            w = settled(w.withColumn("w", F.col("w") - part))
         size = float(w.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0])
         if size < 1e-10 or m + 1 == steps:
             break
         beta.append(size)
-        basis = w.select("i", F.array_append("q", F.col("w") / size).alias("q")).checkpoint()
+        basis = settled(w.select("i", F.array_append("q", F.col("w") / size).alias("q")))
     small = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
     values, ritz = np.linalg.eigh(small)
     k = min(k, len(values))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.vec import clamp
+from memloom.operators.settle import settled
 
 NODE_CAP = 10_000
 LIST_ROWS = 500
@@ -182,8 +183,8 @@ def neighbourhood(notes: DataFrame, related: DataFrame, links: DataFrame, select
     spark = notes.sparkSession
     depth, limit = max(1, min(3, depth)), max(1, limit)
     ids = notes.select("note_id")
-    stored = related.join(ids.withColumnRenamed("note_id", "src"), "src", "left_semi")
-    inbound = reverse_adjacency(related)
+    stored = settled(related.join(ids.withColumnRenamed("note_id", "src"), "src", "left_semi"))
+    inbound = reverse_adjacency(stored)
     long_range = long_range_adjacency(links, notes).where(F.col("note_id") == selected)
     long_top = long_range.orderBy(F.col("score").desc(), "other").limit(min(limit, 50, long_k))
     pos = "pos" if "pos" in related.columns else "dst"
@@ -201,7 +202,7 @@ def neighbourhood(notes: DataFrame, related: DataFrame, links: DataFrame, select
         back = inbound.join(at, F.col("dst") == F.col("at")).select("at", F.col("src").alias("other"), "score", F.lit(1).alias("side"))
         both = out.unionByName(back).join(ids.withColumnRenamed("note_id", "other"), "other", "left_semi")
         nth = F.row_number().over(Window.partitionBy("at").orderBy("side", F.col("score").desc(), "other"))
-        step = both.withColumn("nth", nth).where((F.col("nth") <= limit) & (F.col("score") >= threshold))
+        step = settled(both.withColumn("nth", nth).where((F.col("nth") <= limit) & (F.col("score") >= threshold)))
         kind = F.when(F.lit(level > 0), "expanded").when(F.col("side") == 0, "outbound").otherwise("inbound")
         nodes = nodes.unionByName(step.select(F.col("other").alias("note_id"), kind.alias("kind")))
         found = step.select(
@@ -211,7 +212,7 @@ def neighbourhood(notes: DataFrame, related: DataFrame, links: DataFrame, select
             "score",
         )
         edges = found if edges is None else edges.unionByName(found)
-        frontier = step.select(F.col("other").alias("note_id")).distinct().join(visited, "note_id", "left_anti")
+        frontier = settled(step.select(F.col("other").alias("note_id")).distinct().join(visited, "note_id", "left_anti"))
         visited = visited.unionByName(frontier)
     if show_long:
         strong = long_top.where(F.col("score") >= threshold)
