@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import decontaminate, feistel_shards, jaccard_join, langid_crf, mixing
-from memloom.llm.shared import Scratch, checked_broadcast, table
+from memloom.llm.shared import Scratch, checked_broadcast, fresh, table
 
 #: Least share of one language in a document's letters.
 LEAST_SCORE = 0.45
@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid_crf.fit(docs.where(~langid_crf.held_out("doc_id")))
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    kept = langid_crf.predict(docs, model, docs.columns)
-    return kept.where((F.col("_lang") != langid_crf.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
+    kept = langid_crf.predict(docs, model, docs.columns, lang=lang, score=score)
+    return kept.where((F.col(lang) != langid_crf.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,10 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it, one row for each time."""
-    sized = docs.withColumn("_size", mixing.words(F.col("text"))).withColumn("_members", F.array("source"))
-    taken, _, _ = mixing.mix(sized, "_members", "_size", "doc_id")
-    times = taken.where("times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return times.select(*docs.columns)
+    size, members, times = (fresh(docs.columns, n) for n in ("_size", "_members", "_times"))
+    sized = docs.withColumn(size, mixing.words(F.col("text"))).withColumn(members, F.array("source"))
+    taken, _, _ = mixing.mix(sized, members, size, "doc_id", out=times)
+    return taken.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import fresh
+
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.06
 #: The shortest piece: an item allows no more edits than leave its pieces this long.
@@ -128,19 +130,17 @@ class Matcher:
         return sorted(out, key=lambda r: (r[0] is None, r[0] or 0))
 
 
-def _matches(blocks: list[list[tuple[int, str]]], rate: float):
+def _matches(blocks: list[list[tuple[int, str]]], rate: float, out: str):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = [Matcher(items, rate) for items in blocks] if len(blocks) == 1 else None
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for matcher in matchers or (Matcher(items, rate) for items in blocks):  # of many blocks, one is in memory at a time
-                for i, text in enumerate(batch.column(at)):
+                for i, text in enumerate(batch.column(batch.num_columns - 1)):
                     found[i] += [{"item_id": n, "distance": d, "start": s, "end": e} for n, d, s, e in matcher.find(text.as_py())]
-            columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + ["_matches"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], out])
 
     return run
 
@@ -162,8 +162,8 @@ def passes(benchmark: DataFrame, item_col: str, text_col: str, chars: int = PASS
         yield block
 
 
-def find_items(df: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The given columns of df and ``_matches``, an array of the items found in the row's whole
+def find_items(df: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, out: str = "_matches") -> DataFrame:
+    """The given columns of df and ``out``, an array of the items found in the row's whole
     text: (item_id, distance, start, end), offsets in the plain form.
 
     Null or empty texts, and items null, empty or without letters and digits, match nothing;
@@ -171,8 +171,8 @@ def find_items(df: DataFrame, benchmark: DataFrame, columns: list[str], text_col
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in columns]).schema.fields)
     blocks = list(passes(benchmark, item_col, item_text)) or [[]]
-    out = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return out.mapInArrow(_matches(blocks, rate), f"{fields}, _matches {_MATCH}")
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias(fresh(columns, "_text")))
+    return rows.mapInArrow(_matches(blocks, rate, out), f"{fields}, `{out}` {_MATCH}")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -183,5 +183,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of df, with all their columns, in which no item is found."""
-    found = find_items(df, benchmark, df.columns, text_col=text_col, **options)
-    return found.where(F.size("_matches") == 0).drop("_matches")
+    out = fresh(df.columns, "_matches")
+    found = find_items(df, benchmark, df.columns, text_col=text_col, out=out, **options)
+    return found.where(F.size(out) == 0).drop(out)

@@ -57,8 +57,9 @@ def least_shared(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def most_matches(n: int) -> int:
-    return max(MATCHES, n * MATCHES_PERCENT // 100)
+def most_matches(n: int, percent: int) -> int:
+    """Never more than similar sets share at least."""
+    return min(least_shared(n, percent), max(MATCHES, n * MATCHES_PERCENT // 100))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -103,7 +104,7 @@ def _prefixes(k: int, percent: int, scored):
                 n.append(len(s))
                 d1.append(np.sum(mix(s), dtype=np.uint64))
                 d2.append(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-                length = len(s) - least_shared(len(s), percent) + most_matches(len(s))
+                length = len(s) - least_shared(len(s), percent) + most_matches(len(s), percent)
                 if len(hashes) and len(s):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     score = np.where(hashes[at] == s, scores[at], 0)
@@ -124,7 +125,7 @@ def required_matches(shared: dict[int, int], n: int, percent: int) -> int:
     shared: of its prefix, the positions that other prefixes share, with how many others do."""
     best, cheapest = 0, None
     for m in CHOICES:
-        if m > most_matches(n):
+        if m > most_matches(n, percent):
             break
         length = n - least_shared(n, percent) + m
         found = [c for at, c in shared.items() if at < length]
@@ -140,7 +141,7 @@ def _required_matches(entries: DataFrame, percent: int) -> DataFrame:
     """The same over entries (rep, n, pos, others): (rep, m), without the sets for which m is 0."""
     n = F.col("n")
     tight = F.expr(f"n - ((n * {percent} + 99) div 100)")
-    most = F.greatest(F.lit(MATCHES), F.expr(f"(n * {MATCHES_PERCENT}) div 100"))
+    most = F.least(n - tight, F.greatest(F.lit(MATCHES), F.expr(f"(n * {MATCHES_PERCENT}) div 100")))
     entries = entries.withColumn("over", F.col("pos") - tight)  # within the prefix for m matches if below m
     sums = [F.count(F.when(F.col("over") < m, 1)).alias(f"found{m}") for m in CHOICES]
     sums += [F.sum(F.when(F.col("over") < m, F.col("others")).otherwise(0)).alias(f"scan{m}") for m in CHOICES]
@@ -172,7 +173,7 @@ def join_block(left: list[int], right: list[int] | None, ids: list[int], sets: l
     for i in members:
         s = sets[i]
         c = counts[np.searchsorted(tokens, s)]
-        order = np.lexsort((s, c))[: len(s) - least_shared(len(s), percent) + most_matches(len(s))]
+        order = np.lexsort((s, c))[: len(s) - least_shared(len(s), percent) + most_matches(len(s), percent)]
         others = c[order] - 1
         shared = {int(p): int(o) for p, o in enumerate(others) if o}
         matches[i] = required_matches(shared, len(s), percent)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import fresh
+
 #: Bound of the training sample: labelled documents of each language, and the characters of one of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 240, 12_000
 #: Words used of the sample for each language, half for the lexicon and half for the weights.
@@ -293,30 +295,30 @@ def sample(df: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[l
     return got["text"].tolist(), got["label"].tolist()
 
 
-def _batches(model, id_at: int | None, emit):
-    """Runs a labeller over batches whose column ``_text`` holds the texts."""
+def _batches(model, names: list[str], rows):
+    """Runs a labeller over batches whose last column holds the texts; ``rows`` makes the columns that stand in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from memloom.llm.word_hashes import slices
 
         labeller = Labeller(model.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices(texts, lambda t: len(t or ""), 1 << 20):
                 words = [words_of(t) for t in texts[a:b]]
-                yield emit(labeller, batch.slice(a, b - a), words, labeller.posteriors(words))
+                made = rows(labeller, words, labeller.posteriors(words))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *names])
 
     return run
 
 
-def _document_rows(labeller: Labeller, batch: pa.RecordBatch, words, posteriors) -> pa.RecordBatch:
+def _document_rows(labeller: Labeller, words, posteriors) -> list[pa.Array]:
     got = [labeller.document(w, p) for w, p in zip(words, posteriors)]
-    at = batch.schema.get_field_index("_text")
-    columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + ["_lang", "_score"])
+    return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
 
 
-def _span_rows(labeller: Labeller, batch: pa.RecordBatch, words, posteriors) -> pa.RecordBatch:
+def _span_rows(labeller: Labeller, words, posteriors) -> list[pa.Array]:
     """Runs of words with the same most likely language: (lang, first word, words, mean posterior)."""
     out = []
     for w, p in zip(words, posteriors):
@@ -327,10 +329,7 @@ def _span_rows(labeller: Labeller, batch: pa.RecordBatch, words, posteriors) ->
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)]):
                 spans.append({"lang": labeller.model.languages[best[a]], "first_word": a, "n_words": b - a, "score": float(p[a:b, best[a]].mean())})
         out.append(spans)
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("score", pa.float64())]))
-    at = batch.schema.get_field_index("_text")
-    columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(out, kind)]
-    return pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + ["_spans"])
+    return [pa.array(out, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("score", pa.float64())])))]
 
 
 def _fields(df: DataFrame) -> str:
@@ -343,20 +342,23 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return train(texts, labels, **options)
 
 
-def predict(df: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns of df, with ``_lang`` and ``_score`` of the whole text."""
-    kept = df.select(*[F.col(f"`{c}`") for c in columns])
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias("_text"))
+def _with_text(df: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias(fresh(columns, "_text")))
+
+
+def predict(df: DataFrame, model: Model, columns: list[str], text_col: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """The given columns of df, with the language and score of the whole text."""
+    rows = _with_text(df, columns, text_col)
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each language and the sample's lexicon
-    return rows.mapInArrow(_batches(held, None, _document_rows), _fields(kept) + "_lang string, _score double")
+    return rows.mapInArrow(_batches(held, [lang, score], _document_rows), _fields(df.select(*[F.col(f"`{c}`") for c in columns])) + f"`{lang}` string, `{score}` double")
 
 
-def label_spans(df: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns of df, with ``_spans``: the languages of code-switched text, run by run."""
-    kept = df.select(*[F.col(f"`{c}`") for c in columns])
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias("_text"))
+def label_spans(df: DataFrame, model: Model, columns: list[str], text_col: str = "text", spans: str = "_spans") -> DataFrame:
+    """The given columns of df, with the languages of code-switched text, run by run."""
+    rows = _with_text(df, columns, text_col)
     held = df.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_batches(held, None, _span_rows), _fields(kept) + "_spans array<struct<lang: string, first_word: int, n_words: int, score: double>>")
+    kind = "array<struct<lang: string, first_word: int, n_words: int, score: double>>"
+    return rows.mapInArrow(_batches(held, [spans], _span_rows), _fields(df.select(*[F.col(f"`{c}`") for c in columns])) + f"`{spans}` {kind}")
 
 
 def held_out(id_col: str):

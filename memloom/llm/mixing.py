@@ -109,8 +109,9 @@ def mix(
     repeats: int = REPEATS,
     seed: str = "mix",
     max_patterns: int = MAX_PATTERNS,
+    out: str = "times",
 ) -> tuple[DataFrame, dict, dict]:
-    """df with ``times`` (how often the mix takes each row, 0 to repeats), each source's size, and each source's target.
+    """df with ``out`` (how often the mix takes each row, 0 to repeats), each source's size, and each source's target.
 
     members: an array of sources per row (null or empty: the null source; null elements: the
     same).  size: words, a long.  order: a column that, hashed with the seed, orders the rows
@@ -121,16 +122,18 @@ def mix(
     spark = df.sparkSession
     own = F.array_sort(F.array_distinct(F.coalesce(F.col(members).cast("array<string>"), F.array().cast("array<string>"))))
     own = F.when(F.size(own) == 0, F.array(F.lit(None).cast("string"))).otherwise(own)
-    rows = df.withColumn("_pattern", own).withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(order).cast("string"), F.lit("")))))
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(order).cast("string"), F.lit(""))))
+    # the row itself is one column, so that its columns' names don't matter
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), own.alias("pattern"), F.col(size).cast("long").alias("size"), F.col(order).alias("order"), hashed.alias("hash"))
     scratch = Scratch(spark, "mix")
-    sums = scratch.table(rows.groupBy("_pattern").agg(F.sum(size).alias("words")), "patterns")
-    kept = [tuple(r["_pattern"]) for r in sums.orderBy(F.col("words").desc(), F.concat_ws("|", "_pattern")).limit(max_patterns).collect()]
+    sums = scratch.table(rows.groupBy("pattern").agg(F.sum("size").alias("words")), "patterns")
     if sums.count() > max_patterns:
-        names = spark.createDataFrame([(list(p), True) for p in kept], "_pattern array<string>, _whole boolean")
-        one = F.array(F.get("_pattern", F.pmod(F.xxhash64("_hash"), F.size("_pattern")).cast("int")))
-        rows = rows.join(F.broadcast(names), F.col("_pattern").eqNullSafe(names["_pattern"]), "left").select(rows["*"], names["_whole"])
-        rows = rows.withColumn("_pattern", F.when(F.col("_whole"), F.col("_pattern")).otherwise(one)).drop("_whole")
-    by_pattern = {tuple(r[0]): int(r[1] or 0) for r in rows.groupBy("_pattern").agg(F.sum(size)).collect()}
+        kept = sums.orderBy(F.col("words").desc(), F.concat_ws("|", "pattern")).limit(max_patterns)
+        names = F.broadcast(scratch.table(kept.select(F.col("pattern").alias("known")), "kept"))  # max_patterns rows
+        one = F.array(F.get("pattern", F.pmod(F.xxhash64("hash"), F.size("pattern")).cast("int")))
+        rows = rows.join(names, F.col("pattern").eqNullSafe(F.col("known")), "left")
+        rows = rows.withColumn("pattern", F.coalesce("known", one)).drop("known")
+    by_pattern = {tuple(r[0]): int(r[1] or 0) for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
     sizes: dict = {}
     for pattern, words in by_pattern.items():
         for s in pattern:
@@ -141,27 +144,26 @@ def mix(
     for (p, _), words in flow.items():
         taken[p] += words
     plan = [(list(p), taken[p] // w if w else 0, taken[p] % w if w else 0) for p, w in by_pattern.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "_p array<string>, _whole int, _rest long"))  # max_patterns rows and a row a source
-    rows = rows.join(plan_df, F.col("_pattern").eqNullSafe(F.col("_p"))).drop("_p")
-    rows = rows.withColumn("_class", F.substring("_hash", 1, CLASS_DIGITS))
-    classes = rows.groupBy("_pattern", "_class").agg(F.sum(size).alias("_words"), F.first("_rest").alias("_r"))
-    upto = F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_class"))
+    plan_df = F.broadcast(spark.createDataFrame(plan, "planned array<string>, whole int, rest long"))  # max_patterns rows and a row a source
+    rows = rows.join(plan_df, F.col("pattern").eqNullSafe(F.col("planned"))).drop("planned")
+    rows = rows.withColumn("class", F.substring("hash", 1, CLASS_DIGITS))
+    classes = rows.groupBy("pattern", "class").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("class"))
     cut = (
-        classes.withColumn("_end", upto)
-        .where((F.col("_end") - F.col("_words") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-        .groupBy("_pattern")
-        .agg(F.min_by(F.struct("_class", (F.col("_end") - F.col("_words")).alias("_start")), "_class").alias("_cut"))
-        .select(F.col("_pattern").alias("_p"), "_cut")
+        classes.withColumn("end", upto)
+        .where((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("end")))
+        .groupBy(F.col("pattern").alias("cut_pattern"))
+        .agg(F.min_by(F.struct("class", (F.col("end") - F.col("words")).alias("start")), "class").alias("cut"))
     )
     # a row for each pattern; without one (nothing or everything taken) the rest is 0
-    rows = rows.join(F.broadcast(cut), F.col("_pattern").eqNullSafe(F.col("_p")), "left").drop("_p")
-    extra = F.when(F.col("_cut").isNotNull() & (F.col("_rest") > 0), (F.col("_class") < F.col("_cut._class")).cast("int")).otherwise(0)
-    cutting = F.col("_cut").isNotNull() & (F.col("_class") == F.col("_cut._class")) & (F.col("_rest") > 0)
-    upto_row = F.sum(size).over(Window.partitionBy("_pattern").orderBy("_hash", order).rowsBetween(Window.unboundedPreceding, 0))
-    split = rows.where(cutting).withColumn("_extra", (F.col("_cut._start") + upto_row - F.col(size) / 2 <= F.col("_rest")).cast("int"))
-    plain = rows.where(~cutting).withColumn("_extra", extra)
-    out = plain.unionByName(split).withColumn("times", (F.col("_whole") + F.col("_extra")).cast("int"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "times"), sizes, goal
+    rows = rows.join(F.broadcast(cut), F.col("pattern").eqNullSafe(F.col("cut_pattern")), "left").drop("cut_pattern")
+    partly = F.col("cut").isNotNull() & (F.col("rest") > 0)
+    cutting = F.coalesce(partly & (F.col("class") == F.col("cut.class")), F.lit(False))
+    plain = rows.where(~cutting).withColumn("extra", F.when(partly, (F.col("class") < F.col("cut.class")).cast("int")).otherwise(0))
+    before = F.sum("size").over(Window.partitionBy("pattern").orderBy("hash", "order").rowsBetween(Window.unboundedPreceding, 0))
+    split = rows.where(cutting).withColumn("extra", (F.col("cut.start") + before - F.col("size") / 2 <= F.col("rest")).cast("int"))
+    every = plain.unionByName(split)
+    return every.select(*[F.col("row")[c].alias(c) for c in df.columns], (F.col("whole") + F.col("extra")).cast("int").alias(out)), sizes, goal
 
 
 def words(text):

@@ -75,6 +75,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def both_hashes(text: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes, together the identity of a string."""
     return F.xxhash64(text), F.xxhash64(F.lit(7919), text)

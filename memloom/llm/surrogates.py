@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import Scratch
+from memloom.llm.shared import Scratch, fresh
 
 ATTEMPTS = 40
 # Patterns of the entities, and words that introduce a person, by gender.
@@ -33,7 +33,7 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 MEN = ["Mr", "Herr", "Herrn", "Señor", "Monsieur", "Sir", "господин", "г-н", "κύριος"]
 WOMEN = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Lady", "госпожа", "г-жа", "κυρία"]
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
-PERSON = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MEN + WOMEN, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})"
+PERSON = rf"(?<!\p{{L}})(?:{'|'.join(sorted({t for w in MEN + WOMEN for t in (w, w.upper())}, key=lambda t: (-len(t), t)))})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})"
 ANY = "|".join([EMAIL, CLOUD_KEY, SECRET, IPV4, PHONE, SSN, CARD, IBAN, PERSON])
 # What names are made of.
 GIVEN = {
@@ -87,7 +87,7 @@ def parts(mention: Column) -> Column:
     title = rf"^([\p{{L}}-]+\.? )({_NAME})(?: ({_NAME}))?$"
     first, second = F.regexp_extract(m, title, 2), F.regexp_extract(m, title, 3)
     spoken = F.regexp_extract(m, r"^([\p{L}-]+)", 1)
-    gender = F.when(spoken.isin(WOMEN), F.lit("f")).otherwise(F.lit("m"))
+    gender = F.when(F.lower(spoken).isin([w.lower() for w in WOMEN]), F.lit("f")).otherwise(F.lit("m"))
     script = F.when(m.rlike(r"[\p{IsCyrillic}]"), F.lit("cyrillic")).when(m.rlike(r"[\p{IsGreek}]"), F.lit("greek")).otherwise(F.lit("latin"))
     given = _part(F.concat(F.lit("given_"), script, F.lit("_"), gender), F.lower(first), first)
 
@@ -220,28 +220,32 @@ def _render(part: Column, names: Column) -> Column:
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "memloom") -> DataFrame:
-    """The rows of df with all mentions in the text replaced, and ``_mentions``, their number.
+    """The rows of df with all mentions in the text replaced, and ``_mentions``, their number
+    (with more underscores if there is such a column).
 
     All other columns stay.  Null texts stay null; texts without a mention stay as they are to
     the byte.  Equal mentions get equal surrogates in all rows; the key decides them.  Repeated
     rows are each treated alike, an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "surrogates")
+    number = fresh(df.columns, "_mentions")
     text = F.col(f"`{text_col}`").cast("string")
+    own = [F.col(f"`{c}`") for c in df.columns]
     hit = F.coalesce(text.rlike(ANY), F.lit(False))
-    plain = df.where(~hit).withColumn("_mentions", F.lit(0))
-    found = df.where(hit).withColumn("_row", F.monotonically_increasing_id())
-    found = found.withColumn("_pieces", F.split(text, ANY)).withColumn("_parts", F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), parts))
+    plain = df.where(~hit).select(*own, F.lit(0).alias(number))
+    mentions = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), parts)
+    # the row itself is one column, so that its columns' names don't matter
+    found = df.where(hit).select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("id"), F.split(text, ANY).alias("pieces"), mentions.alias("parts"))
     found = scratch.table(found, "found")
-    seen = found.select("_row", F.explode(F.flatten("_parts")).alias("p")).where("p.kind <> ''").select("_row", "p.kind", "p.value").distinct()
+    seen = found.select("id", F.explode(F.flatten("parts")).alias("p")).where("p.kind <> ''").select("id", "p.kind", "p.value").distinct()
     chosen = assign(scratch, scratch.table(seen.select("kind", "value").distinct(), "entities"), key)
     entry = F.struct(F.concat_ws("|", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
-    names = seen.join(chosen, ["kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))  # no more than a text has mentions
-    new = F.transform("_parts", lambda ps: F.array_join(F.transform(ps, lambda p: _render(p, F.col("_names"))), ""))
-    replaced = F.array_join(F.zip_with("_pieces", new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = found.join(names, "_row").withColumn("_text", replaced).withColumn("_mentions", F.size("_parts"))
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return plain.select(*[F.col(f"`{c}`") for c in df.columns], "_mentions").unionByName(done.select(*columns, "_mentions"))
+    names = seen.join(chosen, ["kind", "value"]).groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("names"))  # no more than a text has mentions
+    new = F.transform("parts", lambda ps: F.array_join(F.transform(ps, lambda p: _render(p, F.col("names"))), ""))
+    replaced = F.array_join(F.zip_with("pieces", new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    done = found.join(names, "id")
+    columns = [replaced.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
+    return plain.unionByName(done.select(*columns, F.size("parts").alias(number)))
 
 
 def surrogate_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "memloom") -> DataFrame:
