@@ -22,7 +22,7 @@ def session() -> SparkSession:
 
 def repository_turns(spark: SparkSession, repo: str, filters: FilterConfig, split: SplitConfig, max_commits: int | None = None) -> DataFrame:
     """Turns of a repository's commits, latest first; mode ``ast`` divides commits by the symbols they change."""
-    commits = segments.filter_messages(git.commits(spark, repo, max_commits), filters).where("filtered is not null")
+    commits = segments.kept_messages(git.commits(spark, repo, max_commits), filters)
     turns = segments.segments_to_turns(segments.split_messages(commits, split))
     none = F.lit(None).cast("string")
     if split.mode == "ast":

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HEADER = r"^[A-Za-z][A-Za-z0-9()\-_/]*:\s*\S"
 ELLIPSIS = "…"
+# Fixed value: the characters that are white space in Unicode.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def lines(text: Column) -> Column:
@@ -28,19 +37,22 @@ def strip_html_comments(text: Column) -> Column:
     return F.regexp_replace(text, HTML_COMMENT, "")
 
 
-def filter_lines(text: Column, dropped) -> tuple[Column, Column]:
+def filter_lines(text: Column, dropped: Callable[[Column], Column]) -> Column:
     """The message without dropped lines and repeats of the line before, and how many lines were
-    dropped.  The first line stays; the others are trimmed and go where ``dropped`` holds."""
-    all_lines = F.transform(lines(text), strip)
-    first = F.filter(F.slice(all_lines, 1, 1), lambda s: s != "")
-    rest = F.slice(all_lines, 2, 1_000_000_000)
-    kept = F.filter(rest, lambda s: (s == "") | ~dropped(s))
-    joined = F.concat(first, kept)
-    # each line differs from the one before it
-    shifted = F.concat(F.array(F.lit(None).cast("string")), joined)
-    pairs = F.slice(F.zip_with(joined, shifted, lambda s, before: F.when(s != F.coalesce(before, F.lit("\u0000")), s)), F.lit(1), F.greatest(F.lit(1), F.size(joined)))
-    single = F.filter(pairs, lambda s: s.isNotNull())
-    return F.array_join(single, "\n"), F.size(rest) - F.size(kept)
+    dropped: (text, dropped).  The first line stays; the others are trimmed and go where ``dropped`` holds."""
+
+    def single(joined: Column) -> Column:
+        # each line differs from the one before it
+        return F.array_join(F.filter(joined, lambda s, i: (i == 0) | (s != F.get(joined, i - 1))), "\n")
+
+    def parts(all_lines: Column) -> Column:
+        first = F.filter(F.slice(all_lines, 1, 1), lambda s: s != "")
+        rest = F.slice(all_lines, 2, 1_000_000_000)
+        kept = F.filter(rest, lambda s: (s == "") | ~dropped(s))
+        both = F.struct(F.concat(first, kept).alias("joined"), (F.greatest(F.size(all_lines) - 1, F.lit(0)) - F.size(kept)).alias("dropped"))
+        return let(both, lambda x: F.struct(let(x["joined"], single).alias("text"), x["dropped"].alias("dropped")))
+
+    return let(F.transform(lines(text), strip), parts)
 
 
 def is_header(line: Column) -> Column:

@@ -13,15 +13,33 @@ _SEGMENTS = f"array<{_SEGMENT}>"
 CONFIDENCE = {"conventional_header": 0.95, "bullet_grouped": 0.80, "paragraph_fallback": 0.65}
 
 
+def _filtered(message: Column, config: FilterConfig) -> Column:
+    """(filtered, lines_dropped) of a message."""
+
+    def of(bare: Column) -> Column:
+        empty = X.strip(bare) == ""
+        if not config.patterns:
+            return F.struct(F.when(~empty, bare).alias("filtered"), F.lit(0).alias("lines_dropped"))
+
+        def both(x: Column) -> Column:
+            kept = F.when(~empty & (X.strip(x["text"]) != ""), x["text"])
+            return F.struct(kept.alias("filtered"), F.when(empty, 0).otherwise(x["dropped"]).alias("lines_dropped"))
+
+        return X.let(X.filter_lines(bare, config.matches), both)
+
+    return X.let(X.strip_html_comments(message), of)
+
+
 def filter_messages(commits: DataFrame, config: FilterConfig, message: str = "message") -> DataFrame:
     """All commits with ``filtered`` (null where nothing is left) and ``lines_dropped``."""
-    bare = X.strip_html_comments(F.col(message))
-    if config.patterns:
-        out, dropped = X.filter_lines(bare, config.matches)
-        dropped = F.when(X.strip(bare) == "", 0).otherwise(dropped)
-    else:
-        out, dropped = bare, F.lit(0)
-    return commits.withColumn("filtered", F.when((X.strip(bare) != "") & (X.strip(out) != ""), out)).withColumn("lines_dropped", dropped)
+    return commits.select("*", _filtered(F.col(message), config).alias("_filter")).select(*commits.columns, "_filter.*")
+
+
+def kept_messages(commits: DataFrame, config: FilterConfig, message: str = "message") -> DataFrame:
+    """The commits of whose message something is left, with ``filtered``.  A generator drops the
+    others, as a filter would be pushed below and compute each message twice."""
+    kept = F.filter(F.array(_filtered(F.col(message), config)["filtered"]), lambda t: t.isNotNull())
+    return commits.select("*", F.explode(kept).alias("filtered"))
 
 
 def filter_stats(filtered: DataFrame, message: str = "message") -> DataFrame:
@@ -43,38 +61,43 @@ def _empty() -> Column:
     return F.array().cast(_SEGMENTS)
 
 
-def _fold(all_lines: Column, starts, header, most: int) -> Column:
-    """Segments that begin at certain lines, in one pass: non-blank lines behind one are its
-    details, lines before the first are lost, and the line that would begin one too many ends the pass."""
-    first = F.struct(_empty().alias("segs"), F.lit(False).alias("over"))
+def _by_marks(all_lines: Column, starts, header, most: int) -> Column:
+    """Segments that begin at certain lines: non-blank lines behind one, up to the next, are its
+    details; lines before the first are lost, and so is all from the line that would begin one too many."""
 
-    def step(acc: Column, line: Column) -> Column:
-        segs, over, n, bare = acc["segs"], acc["over"], F.size(acc["segs"]), X.strip(line)
-        opened = F.struct(header(bare).alias("header"), F.array().cast("array<string>").alias("details"))
-        last = F.element_at(segs, -1)
-        grown = F.struct(last["header"].alias("header"), F.array_append(last["details"], bare).alias("details"))
-        with_detail = F.concat(F.slice(segs, 1, n - 1), F.array(grown))
-        begin = starts(line)
-        new = F.when(over, segs).when(begin & (n >= most), segs).when(begin, F.array_append(segs, opened)).when((n > 0) & (bare != ""), with_detail).otherwise(segs)
-        return F.struct(new.cast(_SEGMENTS).alias("segs"), (over | (begin & (n >= most))).alias("over"))
+    def cut(rows: Column, at: Column) -> Column:
+        def one(p: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(rows))
+            behind = F.filter(F.slice(rows, p + 2, end - p - 1), lambda x: x["bare"] != "")
+            return F.struct(header(F.get(rows, p)["bare"]).alias("header"), F.transform(behind, lambda x: x["bare"]).alias("details"))
 
-    return F.aggregate(all_lines, first, step)["segs"]
+        return F.transform(F.slice(at, 1, most), one)
+
+    def found(rows: Column) -> Column:
+        places = F.filter(F.transform(rows, lambda x, i: F.when(x["starts"], i)), lambda i: i.isNotNull())
+        return X.let(places, lambda at: cut(rows, at))
+
+    marked = F.transform(all_lines, lambda s: F.struct(X.strip(s).alias("bare"), starts(s).alias("starts")))
+    return X.let(marked, found)
+
+
+def _two(found: Column) -> Column:
+    """Segments, or none if there are fewer than two."""
+    return X.let(found.cast(_SEGMENTS), lambda s: F.when(F.size(s) >= 2, s).otherwise(_empty()))
 
 
 def header_segments(message: Column, most: int) -> Column:
     """Segments by conventional headers; empty unless there are two."""
-    found = _fold(X.lines(message), X.is_header, lambda s: s, most)
-    return F.when(F.size(found) >= 2, found).otherwise(_empty())
+    return _two(_by_marks(X.lines(message), X.is_header, lambda s: s, most))
 
 
 def bullet_segments(message: Column, most: int) -> Column:
-    found = _fold(X.lines(message), X.is_bullet, lambda s: X.strip(F.substring(s, 3, 1_000_000)), most)
-    return F.when(F.size(found) >= 2, found).otherwise(_empty())
+    return _two(_by_marks(X.lines(message), X.is_bullet, lambda s: X.strip(F.substring(s, 3, 1_000_000)), most))
 
 
 def _first_and_rest(text: Column) -> Column:
     kept = F.filter(F.transform(X.lines(text), X.strip), lambda s: s != "")
-    return F.struct(F.get(kept, F.lit(0)).alias("header"), F.slice(kept, 2, 1_000_000).alias("details"))
+    return X.let(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("header"), F.slice(k, 2, 1_000_000).alias("details")))
 
 
 def merged_paragraphs(message: Column) -> Column:
@@ -87,52 +110,41 @@ def merged_paragraphs(message: Column) -> Column:
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))
         return F.when((F.size(acc) > 0) & F.coalesce(small, F.lit(False)), joined).otherwise(F.array_append(acc, p))
 
-    # element_at needs an element: an empty accumulator holds none, so the first step starts from one
-    start = F.slice(paragraphs, 1, 1)
-    return F.aggregate(F.slice(paragraphs, 2, 1_000_000), start, step)
+    # the fold starts from the first paragraph, so that there always is a last one
+    return X.let(paragraphs, lambda ps: F.aggregate(F.slice(ps, 2, 1_000_000), F.slice(ps, 1, 1), step))
 
 
 def paragraph_segments(message: Column, most: int) -> Column:
-    merged = merged_paragraphs(message)
-    enough = F.size(F.filter(merged, lambda p: X.word_count(p) >= 5)) >= 2
-    return F.when(enough, F.transform(F.slice(merged, 1, most), _first_and_rest)).otherwise(_empty())
+    def cut(merged: Column) -> Column:
+        enough = F.size(F.filter(merged, lambda p: X.word_count(p) >= 5)) >= 2
+        return F.when(enough, F.transform(F.slice(merged, 1, most), _first_and_rest).cast(_SEGMENTS)).otherwise(_empty())
+
+    return _two(X.let(merged_paragraphs(message), cut))
 
 
 def single_segment(message: Column) -> Column:
-    one = _first_and_rest(message)
-    return F.array(F.struct(F.coalesce(one["header"], X.strip(message)).alias("header"), one["details"].alias("details")))
+    return X.let(_first_and_rest(message), lambda one: F.array(F.struct(F.coalesce(one["header"], X.strip(message)).alias("header"), one["details"].alias("details"))))
 
 
 def split_messages(commits: DataFrame, config: SplitConfig, message: str = "filtered") -> DataFrame:
     """Commits with ``segments``, how they were found (``parse_mode``), ``confidence``, and whether the message was split."""
     m = F.col(message)
-    one = single_segment(m).cast(_SEGMENTS)
-    if config.mode == "off":
-        return commits.select("*", one.alias("segments"), F.lit("paragraph_fallback").alias("parse_mode"), F.lit(1.0).alias("confidence"), F.lit(False).alias("is_split"))
-    found = (
-        commits.withColumn("_h", header_segments(m, config.max_segments).cast(_SEGMENTS))
-        .withColumn("_b", bullet_segments(m, config.max_segments).cast(_SEGMENTS))
-        .withColumn("_p", paragraph_segments(m, config.max_segments).cast(_SEGMENTS))
-    )
-    kinds = [("_h", "conventional_header"), ("_b", "bullet_grouped"), ("_p", "paragraph_fallback")]
-    segments, kind, confidence = None, None, None
-    for column, name in kinds:
-        # a split by too few segments counts as none found; auto mode keeps it by its mean confidence
-        keeps = config.mode in ("strict", "ast") or CONFIDENCE[name] >= config.min_confidence
-        here = F.size(column) >= (2 if column != "_p" else 2)
-        values = (F.col(column), F.lit(name), F.lit(CONFIDENCE[name])) if keeps else (one, F.lit("paragraph_fallback"), F.lit(1.0))
-        split = F.lit(keeps)
-        if segments is None:
-            segments, kind, confidence, is_split = (F.when(here, v) for v in (*values, split))
-        else:
-            segments, kind, confidence, is_split = (c.when(here, v) for c, v in zip((segments, kind, confidence, is_split), (*values, split)))
-    return found.select(
-        *[F.col(c) for c in commits.columns],
-        segments.otherwise(one).alias("segments"),
-        kind.otherwise("paragraph_fallback").alias("parse_mode"),
-        confidence.otherwise(1.0).alias("confidence"),
-        is_split.otherwise(False).alias("is_split"),
-    )
+
+    def row(segments: Column, kind: str, confidence: float, split: bool) -> Column:
+        return F.struct(segments.cast(_SEGMENTS).alias("segments"), F.lit(kind).alias("parse_mode"), F.lit(confidence).alias("confidence"), F.lit(split).alias("is_split"))
+
+    def choose(name: str, keeps: bool, rest: Column):
+        one = row(single_segment(m), "paragraph_fallback", 1.0, False)
+        return lambda found: F.when(F.size(found) >= 2, row(found, name, CONFIDENCE[name], True) if keeps else one).otherwise(rest)
+
+    out = row(single_segment(m), "paragraph_fallback", 1.0, False)
+    if config.mode != "off":
+        kinds = [("paragraph_fallback", paragraph_segments), ("bullet_grouped", bullet_segments), ("conventional_header", header_segments)]
+        for name, find in kinds:  # the last one is tried first
+            # all segments of a kind have its confidence, so their mean is known beforehand
+            keeps = config.mode in ("strict", "ast") or CONFIDENCE[name] >= config.min_confidence
+            out = X.let(find(m, config.max_segments), choose(name, keeps, out))
+    return commits.select("*", out.alias("_split")).select(*commits.columns, "_split.*")
 
 
 def split_stats(split: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def t01(spark, d):
 
 @query("t02_drop_empty_messages", f"with {fx.COMMITS_SQL} select commit_id, {_BARE} as filtered from commits where {_t(_BARE)} <> ''")
 def t02(spark, d):
-    return segments.filter_messages(fx.commits(spark, d), FilterConfig()).where("filtered is not null").select("commit_id", "filtered")
+    return segments.kept_messages(fx.commits(spark, d), FilterConfig()).select("commit_id", "filtered")
 
 
 @query("t03_t07_filter_lines", _FILTERED + " select commit_id, filtered, lines_dropped::int as lines_dropped from filtered")
@@ -112,7 +112,7 @@ _SHOW = "select commit_id, u.seg as seg, u.s.header as header, array_to_string(u
 
 
 def _filtered(spark, d):
-    return segments.filter_messages(fx.commits(spark, d), _NOISE).where("filtered is not null")
+    return segments.kept_messages(fx.commits(spark, d), _NOISE)
 
 
 def _show(df, column):
