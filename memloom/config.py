@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = "spectral-cortex-v1"  # fixed value: the version written in saved graphs
+#: The version written in saved graphs unless another is asked for, and how the readable ones end, whatever program wrote them.
+FORMAT_VERSION, READABLE = "memloom-v1", "-v1"
 DAY = 86_400
 
 
