@@ -20,5 +20,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from memloom.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
