@@ -118,6 +118,22 @@ def test_distance(a, b):
     assert chained_passages.distance(a, b) == row[-1]
 
 
+@given(st.lists(st.integers(0, 4), max_size=30))
+def test_ranks(values):
+    assert chained_passages.ranks(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
+
+
+def test_passage_of_a_repeated_phrase(spark):
+    rng = np.random.default_rng(3)
+
+    def other():
+        return " ".join(f"w{rng.integers(10**9)}" for _ in range(60))
+
+    rows = [(i, f"{other()} {'so it goes ' * 25}{other()}") for i in range(3)] + [(9, other())]
+    got = chained_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(1, 0), (2, 0)} and max(r["end"] - r["start"] for r in got) >= 70
+
+
 def test_passages(docs, texts, none):
     rows = chained_passages.repeated_passages(docs).collect()
     words = {i: plain_words(t) for i, t in texts if i is not None}
