@@ -89,11 +89,8 @@ def rerank(cands: DataFrame, cfg: TemporalConfig, now: int | None = None) -> Dat
     return cands.withColumn("temporal_score", score).withColumn("final_score", temporal.final_score(F.col("raw_score"), F.col("temporal_score"), cfg))
 
 
-#: The order in which a stable sort by final score leaves candidates.
-RANK = (F.desc, F.asc)
-
-
 def ranked(df: DataFrame) -> DataFrame:
+    """In the order in which a stable sort by final score leaves candidates."""
     return df.orderBy(F.col("final_score").desc(), F.col("raw_score").desc(), "note_id", "pos")
 
 
