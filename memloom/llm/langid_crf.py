@@ -160,16 +160,18 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, b
     number = {l: i for i, l in enumerate(languages)}
     pools: list[list[list[str]]] = [[] for _ in languages]
     counts: list[Counter] = [Counter() for _ in languages]
-    seen = [0] * k
-    for i, (text, label) in enumerate(zip(texts, labels)):
+    seen, taken = [0] * k, [0] * k
+    for text, label in zip(texts, labels):
         y, words = number[label], words_of(text)
-        if seen[y] >= SAMPLE_WORDS:
+        if seen[y] >= SAMPLE_WORDS or not words:
             continue
         seen[y] += len(words)
-        if i % 2:
+        # by turns within a language, so that each has both, in whatever order the languages come
+        if taken[y] % 2:
             counts[y].update(words)
         else:
             pools[y].append(words)
+        taken[y] += 1
     # the lexicon: a word's most frequent language, and by how much it leads
     lexicon: dict[str, int] = {}
     for y in range(k):

@@ -61,6 +61,24 @@ def test_held_out_accuracy(spark):
     assert len(rows) == 1000 and len(held) > 250 and sum(held) / len(held) > 0.97
 
 
+def test_every_language_fills_the_sample(spark, monkeypatch):
+    """Where all languages have more documents than the sample takes, they alternate in it; each still gets a lexicon and chains."""
+    monkeypatch.setattr(langid_crf, "SAMPLE_DOCS", 40)
+    rng = random.Random(5)
+    pools = {"en": EN, "fr": FR, "xx": [w[::-1] + "o" for w in EN], "yy": [w[::-1] + "u" for w in FR]}
+    rows = [(i * 4 + j, " ".join(rng.choice(pool) for _ in range(60)), lang) for i in range(90) for j, (lang, pool) in enumerate(pools.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid_crf.sample(df.where(~langid_crf.held_out("doc_id")), "doc_id", "text", "lang")
+    assert labels == sorted(pools) * 40
+    model = langid_crf.train(texts, labels)
+    assert {(n - 1) // (len(langid_crf._RATES) + 1) for n in model.lexicon.values()} == {0, 1, 2, 3}
+    truth = {i: lang for i, _, lang in rows}
+    held = [(truth[r["doc_id"]], r["lang_pred"]) for r in langid_crf.identify(df).collect() if r["held_out"]]
+    for lang in pools:
+        mine = [got == lang for want, got in held if want == lang]
+        assert len(mine) > 20 and sum(mine) / len(mine) > 0.97, lang
+
+
 def test_cases(spark, docs, none):
     rows = langid_crf.identify(docs).collect()
     assert len(rows) == docs.count()
