@@ -134,6 +134,38 @@ def test_passage_of_a_repeated_phrase(spark):
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(1, 0), (2, 0)} and max(r["end"] - r["start"] for r in got) >= 70
 
 
+@pytest.mark.parametrize("gap", [30, 40, 45, 50, 55, 60])
+def test_parts_of_a_chain(gap):
+    """Two exact passages with other words between are both found, though their span is not similar; also a passage with a short phrase behind it."""
+    rng = np.random.default_rng(gap)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    first, second, phrase = own(55), own(55), own(9)
+    for last in (second, phrase):
+        a, b = [*own(20), *first, *own(gap), *last, *own(20)], [*own(31), *first, *own(gap), *last, *own(20)]
+        end = 20 + 55 + gap + len(last)
+        got = chained_passages.align(a, b, (22, end - 2), (33, end + 9), 50, 0.8)
+        assert (20, 75, 31, 86, 0) in got and len(got) == (2 if last is second else 1)
+        if last is second:
+            assert (75 + gap, 130 + gap, 86 + gap, 141 + gap, 0) in got
+
+
+def test_two_passages_of_a_pair(spark):
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(10**9, size=n))
+    first, second = own(55), own(55)
+    rows = [(i, f"{own(40)} {first} {own(45)} {second} {own(40)}") for i in range(2)]
+    got = chained_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["start"], r["end"], r["edits"]) for r in got} == {(40, 95, 0), (140, 195, 0)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=60), st.lists(st.sampled_from("abcd"), max_size=60))
+def test_parts_are_similar(a, b):
+    for a0, a1, b0, b1, edits in chained_passages.parts(a, b, 10, 0.8, 3):
+        assert 0 <= a0 < a1 <= len(a) and 0 <= b0 < b1 <= len(b) and min(a1 - a0, b1 - b0) >= 10
+        assert chained_passages.distance(a[a0:a1], b[b0:b1]) == edits <= 0.2 * max(a1 - a0, b1 - b0) + 1e-9
+
+
 def test_passages(docs, texts, none):
     rows = chained_passages.repeated_passages(docs).collect()
     words = {i: plain_words(t) for i, t in texts if i is not None}
