@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from memloom.llm.shared import Scratch, fresh
 
 ATTEMPTS = 40
+#: Secrets with fewer letters and digits, and those left after so many attempts, get surrogates that don't keep their shape.
+LEAST_SHAPED, SHAPED_ATTEMPTS = 4, 4
 # Patterns of the entities, and words that introduce a person, by gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
@@ -140,6 +142,12 @@ def _shape(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(_chars(value), one), "")
 
 
+def _wide(value: Column, stream: Column, more: int) -> Column:
+    """Letters and digits, as many as the value has characters and some more."""
+    places = F.sequence(F.lit(0), F.length(value) + F.lit(more - 1))
+    return F.array_join(F.transform(places, lambda i: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", _nth(stream, i))), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a string of digits, the last one counted once."""
 
@@ -172,7 +180,10 @@ def draw(key: str, attempt: int) -> Column:
     last = F.when(_luhn(value) == 0, check).otherwise((check + 1 + n[10] % 9) % 10)
     card = F.concat(body, last.cast("string"))
     iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, 3, 99))
-    out = F.when(kind == "user", user).when(kind == "domain", domain).when(kind == "hex", hex_).when(kind == "ip", ip).when(kind == "cloud_key", cloud)
+    # where the shape leaves too few values
+    poor = F.length(F.regexp_replace(value, "[^0-9a-zA-Zа-яα-ω]", "")) < LEAST_SHAPED
+    wide = kind.isin("secret", "hex") if attempt >= SHAPED_ATTEMPTS else (kind == "secret") & poor
+    out = F.when(wide, _wide(value, stream, attempt)).when(kind == "user", user).when(kind == "domain", domain).when(kind == "hex", hex_).when(kind == "ip", ip).when(kind == "cloud_key", cloud)
     out = out.when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
     for group, names in GIVEN.items():
         given = F.concat_ws("-", *[_of(names, x) for x in n[: 1 + min(6, attempt)]])

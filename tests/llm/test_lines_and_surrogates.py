@@ -106,6 +106,15 @@ def test_surrogates_stay_distinct(spark):
         assert len(set(after)) == len(set(before)) and not set(after) & set(before)
 
 
+def test_secrets_without_a_shape(spark):
+    """Masked secrets, and more secrets of one letter and punctuation than there are letters."""
+    values = ["********", "......", "秘密の言葉です", *[f"{a}{b}-----" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("", "-")], *[f"{a}-----" for a in "0123456789"]]
+    got = surrogates(spark, [f"password: {v} token={v}" for v in values])
+    new = [re.fullmatch(r"password: (\S+) token=(\S+)", t) for t in got]
+    assert all(m[1] == m[2] and len(m[1]) >= len(v) for m, v in zip(new, values))
+    assert len({m[1] for m in new}) == len(values) and not {m[1] for m in new} & set(values)
+
+
 def test_surrogate_cases(docs, none):
     out = S.pseudonymise(docs)
     assert out.count() == docs.count() and out.drop("_mentions").columns == docs.columns and out.agg(F.sum("_mentions")).first()[0] == 0
