@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share.  Only a one-machine session may fall back to a temporary folder."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        known = context._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else None
+    if not root:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="memloom-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once: as a checkpoint in the folder the cluster shares, where it names one, else kept on memory and disk."""
+    """df computed once and written to the shared folder, from where later steps read it, also
+    those that run again after an executor is lost.  It goes when the application ends, or by ``dropped``."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    if shared:
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    home = f"{shared_root(spark)}/memloom-tables-{spark.sparkContext.applicationId}"
+    store, at = _files(spark, home)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a settled table that no later step reads."""
+    store, at = _files(df.sparkSession, df._memloom_path)
+    store.delete(at, True)

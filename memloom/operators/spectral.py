@@ -1,23 +1,31 @@
 """Eigenvectors of the normalised Laplacian, and clusters from them.
 
 The reference point is the definition: the k smallest eigenpairs, ascending.  Small graphs are
-solved on the driver, larger ones by a distributed Lanczos iteration whose matrix-vector
-product is a join; only vectors of basis coefficients, never the matrix, reach the driver.
+solved on the driver, larger ones by a block Lanczos iteration that runs until the residuals
+of all k pairs are below a tolerance.  Its matrix-vector products multiply blocks of the matrix
+with blocks of the vectors; the driver holds the small projected matrix, never the graph's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.operators.graph import laplacian, matrix_vector
-from memloom.operators.settle import settled
+from memloom.operators.graph import both_ways, laplacian, normalized_weights
+from memloom.operators.settle import dropped, settled
 
 #: Nodes up to which the matrix is solved on the driver: dense, 128 MB at most.
 DENSE_NODES = 4_000
+#: Vectors of a Lanczos block beyond those asked for, vectors of the basis at which the iteration starts anew from its best ones, and the residual it ends at.
+SPARE, BASIS, TOLERANCE = 8, 320, 1e-7
+#: Nodes of a block of the matrix.
+ROWS = 4_096
 
 
 def canonical(vectors: np.ndarray) -> np.ndarray:
@@ -42,43 +50,160 @@ def dense_eigen(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[np.ndarray,
     return values, ids.tolist(), vectors
 
 
-def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, steps: int = 40, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """The k smallest eigenpairs by Lanczos with full re-orthogonalisation: (values, coords by node).
-
-    Basis vectors are columns of a checkpointed table keyed by node; the driver holds the small
-    tridiagonal matrix only.
+def _columns(batch, name: str) -> np.ndarray:
+    """An array column of equal lengths as a matrix."""
+    column = batch.column(name)
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+
+def _arrays(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _times(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block of matrix rows (block, j, i, w), all of some nodes j, times their vectors (block, i, x): partial sums by i."""
+    names = pa.schema([("i", pa.int64()), ("y", pa.list_(pa.float64()))])
+    if not left.num_rows or not right.num_rows:
+        return names.empty_table()
+    i, j, w = (left.column(c).to_numpy() for c in ("i", "j", "w"))
+    nodes, x = right.column("i").to_numpy(), _columns(right, "x")
+    order = np.argsort(nodes)
+    nodes, x = nodes[order], x[order]
+    order = np.argsort(i, kind="stable")
+    i, j, w = i[order], j[order], w[order]
+    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    ends = np.append(starts[1:], len(i))
+    out = np.empty((len(starts), x.shape[1]))
+    at = np.searchsorted(nodes, j)
+    first = 0
+    while first < len(starts):  # some rows at once, so that the products stay small
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 200_000, "right")))
+        part = slice(starts[first], ends[last - 1])
+        out[first:last] = np.add.reduceat(x[at[part]] * w[part, None], starts[first:last] - starts[first], axis=0)
+        first = last
+    return pa.table([pa.array(i[starts]), _arrays(out)], schema=names)
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The sums of vectors (block, i, y) by i."""
+    i, y = rows.column("i").to_numpy(), _columns(rows, "y")
+    order = np.argsort(i, kind="stable")
+    i, y = i[order], y[order]
+    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    return pa.table([pa.array(i[starts]), _arrays(np.add.reduceat(y, starts, axis=0))], names=["i", "x"])
+
+
+def _products(df: DataFrame, left: str, right: str) -> np.ndarray:
+    """left' * right of two array columns: each partition sums its own, and only the small products leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = _columns(batch, left).T @ _columns(batch, right)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"r": np.repeat(np.arange(len(total)), total.shape[1]), "c": np.tile(np.arange(total.shape[1]), len(total)), "v": total.ravel()})
+
+    cells = df.select(*dict.fromkeys((left, right))).mapInArrow(run, "r long, c long, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).toArrow()
+    r, c = cells.column("r").to_numpy(), cells.column("c").to_numpy()
+    out = np.zeros((r.max() + 1, c.max() + 1))
+    out[r, c] = cells.column("v").to_numpy()
+    return out
+
+
+def _combined(df: DataFrame, columns: list[str], value, out: str) -> DataFrame:
+    """The node and ``out``, an array column made of array columns, batch by batch: value(*matrices)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = value(*[_columns(batch, c) for c in columns])
+                yield pa.RecordBatch.from_pydict({"i": batch.column("i"), **{c: batch.column(c) for c in columns if c == "q" and out != "q"}, out: _arrays(made)})
+
+    kept = "q array<double>, " if "q" in columns and out != "q" else ""
+    return df.mapInArrow(run, f"i long, {kept}{out} array<double>")
+
+
+def _orthonormal(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For vectors X with X'X = g: (u, r) so that X u is orthonormal and X = X u r, without directions that vanish."""
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    kept = values > 1e-18
+    root = np.sqrt(values[kept])
+    return vectors[:, kept] / root, (vectors[:, kept] * root).T
+
+
+def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tolerance: float = TOLERANCE, most: int = BASIS) -> tuple[np.ndarray, DataFrame]:
+    """The k smallest eigenpairs by block Lanczos with full re-orthogonalisation: (values, coords by node).
+
+    A block has more vectors than pairs are wanted, so repeated values, such as the zeros of a
+    graph of several components, are found as often as they occur.  The basis is an array
+    column by node; when it has ``most`` vectors the iteration starts anew from the best ones.
     """
-    matrix = settled(laplacian(nodes, edges))
-    start = nodes.select(F.col("note_id").alias("i"), (F.xxhash64("note_id", F.lit(seed)) / F.lit(float(1 << 63))).alias("x"))
-    length = float(start.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0])
-    basis = settled(start.select("i", F.array(F.col("x") / length).alias("q")))
-    alpha, beta = [], []
-    for m in range(steps):
-        v = basis.select("i", F.element_at("q", -1).alias("x"))
-        w = basis.join(matrix_vector(matrix, v), "i", "left").select("i", "q", F.coalesce("x", F.lit(0.0)).alias("w"))
-        for again in range(2):  # twice is enough for working orthogonality
-            sums = w.agg(*[F.sum(F.get("q", F.lit(n)) * F.col("w")) for n in range(m + 1)]).first()
-            if not again:
-                alpha.append(float(sums[m]))
-            part = F.lit(0.0)
-            for n in range(m + 1):
-                part = part + F.get("q", F.lit(n)) * float(sums[n])
-            w = settled(w.withColumn("w", F.col("w") - part))
-        size = float(w.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0])
-        if size < 1e-10 or m + 1 == steps:
+    n = nodes.count()
+    k = min(k, n)
+    blocks = max(1, -(-n // ROWS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    matrix = settled(both_ways(normalized_weights(edges)).select(block("j"), "j", "i", "w"))
+    width = min(n, k + SPARE)
+    start = F.array(*[F.xxhash64("note_id", F.lit(seed + c)) / F.lit(float(1 << 63)) for c in range(width)])
+    basis = settled(nodes.select(F.col("note_id").alias("i"), start.alias("q")))
+    u, _ = _orthonormal(_products(basis, "q", "q"))
+    basis = settled(_combined(basis, ["q"], lambda q: q @ u, "q"))
+    u, _ = _orthonormal(_products(basis, "q", "q"))  # once more, to working precision
+    basis = settled(_combined(basis, ["q"], lambda q: q @ u, "q"))
+    small = np.zeros((0, 0))
+    size = last = u.shape[1]
+    while True:
+        # w = (adjacency) * (last block), less its parts along the basis, twice
+        ahead = basis.select(block("i"), "i", F.slice("q", size - last + 1, last).alias("x"))
+        partial = matrix.groupBy("block").cogroup(ahead.groupBy("block")).applyInArrow(_times, "i long, y array<double>")
+        summed = partial.select(block("i"), "i", "y").groupBy("block").applyInArrow(_summed, "i long, x array<double>")
+        zero = F.array_repeat(F.lit(0.0), last)
+        w = settled(basis.join(summed, "i", "left").select("i", "q", F.coalesce("x", zero).alias("w")))
+        h = _products(w, "q", "w")
+        less = lambda m: (lambda q, x: x - q @ m)
+        v = settled(_combined(w, ["q", "w"], less(h), "w"))
+        again = _products(v, "q", "w")
+        h = h + again
+        z = settled(_combined(v, ["q", "w"], less(again), "w"))
+        u, r = _orthonormal(_products(z, "w", "w"))
+        # the projected matrix: what was known, the new block's column, and its mirror image
+        grown = np.zeros((size, size))
+        grown[: len(small), : len(small)] = small
+        grown[:, size - last :] = h
+        grown[size - last :, :] = h.T
+        small = grown
+        values, ritz = np.linalg.eigh((small + small.T) / 2)
+        values, ritz = values[::-1], ritz[:, ::-1]  # the greatest of the adjacency are the smallest of the Laplacian
+        good = min(k, size)
+        residuals = np.sqrt(((r @ ritz[size - last :, :good]) ** 2).sum(0)) if len(r) else np.zeros(good)
+        for table in (w, v):
+            dropped(table)
+        if len(r) == 0 or residuals.max() <= tolerance:
             break
-        beta.append(size)
-        basis = settled(w.select("i", F.array_append("q", F.col("w") / size).alias("q")))
-    small = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
-    values, ritz = np.linalg.eigh(small)
-    k = min(k, len(values))
-    columns = []
-    for c in range(k):
-        total = F.lit(0.0)
-        for n in range(len(alpha)):
-            total = total + F.get("q", F.lit(n)) * float(ritz[n, c])
-        columns.append(total)
-    return values[:k], basis.select(F.col("i").alias("note_id"), F.array(*columns).alias("coords"))
+        if size + len(r) > most:  # anew from the best vectors, with the block they leave over
+            best = ritz[:, : min(size, most // 4)]
+            after = settled(_combined(z, ["q", "w"], lambda q, x, best=best, u=u: np.hstack([q @ best, x @ u]), "q"))
+            small = np.diag(values[: best.shape[1]])
+            size, last = best.shape[1] + len(r), len(r)
+        else:
+            after = settled(_combined(z, ["q", "w"], lambda q, x, u=u: np.hstack([q, x @ u]), "q"))
+            size, last = size + len(r), len(r)
+        for table in (basis, z):
+            dropped(table)
+        basis = after
+    at = canonical_signs(basis, ritz[:, :good])
+    coords = _combined(basis, ["q"], lambda q: q @ at, "q").select(F.col("i").alias("note_id"), F.col("q").alias("coords"))
+    return 1.0 - values[:good], coords
+
+
+def canonical_signs(basis: DataFrame, ritz: np.ndarray) -> np.ndarray:
+    """The combinations of basis vectors, turned so that each vector's largest entry is positive."""
+    vectors = _combined(basis, ["q"], lambda q: q @ ritz, "q")
+    rows = vectors.select("i", F.posexplode("q").alias("c", "x")).groupBy("c").agg(F.max_by("x", F.struct(F.abs("x"), -F.col("i"))).alias("x")).collect()  # a row for each vector
+    return ritz * np.array([1.0 if r["x"] >= 0 else -1.0 for r in sorted(rows, key=lambda r: r["c"])])
 
 
 def spectral_decomposition(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
