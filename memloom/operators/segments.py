@@ -104,14 +104,31 @@ def merged_paragraphs(message: Column) -> Column:
     """Paragraphs, with fragments (markup, or fewer than 5 words, or behind so few) joined to the one before."""
     paragraphs = F.filter(F.transform(F.split(message, "\n\n"), X.strip), lambda p: p != "")
 
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        small = p.startswith("<") | p.endswith(">") | (X.word_count(p) < 5) | (X.word_count(last) < 5)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))
-        return F.when((F.size(acc) > 0) & F.coalesce(small, F.lit(False)), joined).otherwise(F.array_append(acc, p))
+    def merged(ps: Column) -> Column:
+        def cut(facts: Column) -> Column:
+            # only the first group can have fewer than 5 words, as any other begins with so many:
+            # up to there all paragraphs belong to it, then each that is no fragment begins one
+            first = F.aggregate(
+                facts,
+                F.struct(F.lit(0).alias("words"), F.lit(0).alias("paragraphs")),
+                lambda a, x: F.struct((a["words"] + x["words"]).alias("words"), (a["paragraphs"] + F.when(a["words"] < 5, 1).otherwise(0)).alias("paragraphs")),
+            )["paragraphs"]
 
-    # the fold starts from the first paragraph, so that there always is a last one
-    return X.let(paragraphs, lambda ps: F.aggregate(F.slice(ps, 2, 1_000_000), F.slice(ps, 1, 1), step))
+            def begins(limit: Column) -> Column:
+                marks = F.transform(facts, lambda x, i: F.when((i == 0) | ((i >= limit) & x["whole"]), i))
+                return F.filter(marks, lambda i: i.isNotNull())
+
+            def groups(at: Column) -> Column:
+                return F.transform(at, lambda p, k: F.array_join(F.slice(ps, p + 1, F.coalesce(F.get(at, k + 1), F.size(ps)) - p), "\n\n"))
+
+            return X.let(X.let(first, begins), groups)
+
+        def fact(p: Column) -> Column:
+            return X.let(X.word_count(p), lambda n: F.struct(n.alias("words"), ((n >= 5) & ~p.startswith("<") & ~p.endswith(">")).alias("whole")))
+
+        return X.let(F.transform(ps, fact), cut)
+
+    return X.let(paragraphs, merged)
 
 
 def paragraph_segments(message: Column, most: int) -> Column:
@@ -140,9 +157,13 @@ def split_messages(commits: DataFrame, config: SplitConfig, message: str = "filt
     out = row(single_segment(m), "paragraph_fallback", 1.0, False)
     if config.mode != "off":
         kinds = [("paragraph_fallback", paragraph_segments), ("bullet_grouped", bullet_segments), ("conventional_header", header_segments)]
+        kept = False
         for name, find in kinds:  # the last one is tried first
             # all segments of a kind have its confidence, so their mean is known beforehand
             keeps = config.mode in ("strict", "ast") or CONFIDENCE[name] >= config.min_confidence
+            if not keeps and not kept:
+                continue  # found or not, the message stays one segment
+            kept = True
             out = X.let(find(m, config.max_segments), choose(name, keeps, out))
     return commits.select("*", out.alias("_split")).select(*commits.columns, "_split.*")
 
