@@ -51,6 +51,9 @@ class PandasEmbedder:
 
 
 def embed_distinct(df: DataFrame, embedder: Embedder, text: str = "content", out: str = "embedding") -> DataFrame:
-    """df with a vector for each text, each distinct text embedded once."""
-    known = embedder.embed(df.select(text).distinct(), text, out)
-    return df.join(known.withColumnRenamed(text, "_text"), F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
+    """df with a vector for each text, each distinct text embedded once; null texts get that of null.
+    Texts meet their vectors by two hashes, so only the distinct ones are shuffled."""
+    keyed = df.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(7919), text))
+    once = keyed.groupBy("_h1", "_h2").agg(F.first(text).alias(text))
+    known = embedder.embed(once, text, out).drop(text)
+    return keyed.join(known, ["_h1", "_h2"]).select(*df.columns, out)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from memloom.config import BuildConfig
 from memloom.functions import vec
 
-#: Vectors of a block; a task multiplies two blocks.
-BLOCK = 1024
+#: Vectors of a block, at most, and the numbers in them (64 MB); a task multiplies two blocks.
+BLOCK, BLOCK_NUMBERS = 8192, 8_000_000
+#: Rows of one block that are multiplied with the other at once.
+STRIPE = 512
 API_WEIGHT = 1.15
 
 
@@ -29,13 +31,17 @@ def _block_product(threshold: float, cosine: bool):
             norms = np.sqrt((x * x).sum(1, keepdims=True))
             x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
         left, right = (side <= 0), (side >= 0)
-        w = np.nan_to_num(x[left] @ x[right].T)
-        i, j = np.nonzero(w >= threshold)
-        a, b = ids[left][i], ids[right][j]
-        # between two blocks all pairs count, within one each once
-        keep = (a < b) if (side == 0).any() else np.ones(len(a), bool)
-        a, b, w = a[keep], b[keep], w[i, j][keep]
-        return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), "w": w}, schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("w", pa.float64())]))
+        y, left_ids, right_ids = x[left], ids[left], ids[right]
+        other, parts = x[right].T, []
+        for at in range(0, len(y), STRIPE):  # so that no product of two whole blocks is in memory
+            w = np.nan_to_num(y[at : at + STRIPE] @ other)
+            i, j = np.nonzero(w >= threshold)
+            a, b = left_ids[at + i], right_ids[j]
+            # between two blocks all pairs count, within one each once
+            keep = (a < b) if (side == 0).any() else np.ones(len(a), bool)
+            parts.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], w[i, j][keep]))
+        a, b, w = (np.concatenate([p[n] for p in parts]) if parts else np.empty(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"i": a, "j": b, "w": w}, schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("w", pa.float64())]))
 
     return run
 
@@ -44,10 +50,14 @@ def similarity_join(df: DataFrame, id_col: str, vector_col: str, threshold: floa
     """All pairs i < j whose cosine is at least the threshold (0 where a norm is 0), exactly.
 
     The all-pairs product is the operator's definition; it is computed block by block, each two
-    blocks in one task, and only pairs over the threshold leave a task.
+    blocks in one task, and only pairs over the threshold leave a task.  A vector is sent to as
+    many tasks as there are blocks: blocks are as large as memory allows, but there are enough
+    for all cores.
     """
-    n = df.count()
-    blocks = max(1, math.ceil(n / block))
+    n, dims = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    most = max(1, min(block, BLOCK_NUMBERS // max(1, dims or 1)))
+    blocks = max(1, math.ceil(n / most), min(math.ceil(n / 256), math.ceil(math.sqrt(2 * cores))))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vector is not null")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
