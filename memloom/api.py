@@ -117,12 +117,13 @@ class MemoryGraph:
     def tables(self) -> graph_json.GraphTables:
         return graph_json.GraphTables(self.notes, self.clusters, self.centroids, self.links, self.related, self.structural, self.metadata)
 
-    def save(self, path: str) -> None:
-        graph_json.save(self.tables(), path, self.config)
+    def save(self, path: str, form: str = "json") -> None:
+        """As one JSON object, or (form "parquet") as a folder of tables for graphs of any size."""
+        {"json": graph_json.save, "parquet": graph_json.save_tables}[form](self.tables(), path, self.config)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, embedder: Embedder | None = None) -> MemoryGraph:
-        out, t = cls(spark, embedder), graph_json.load(spark, path)
+    def load(cls, spark: SparkSession, path: str, embedder: Embedder | None = None, form: str = "json") -> MemoryGraph:
+        out, t = cls(spark, embedder), {"json": graph_json.load, "parquet": graph_json.load_tables}[form](spark, path)
         out.notes, out.clusters, out.centroids, out.links = t.notes, t.clusters, t.centroids, t.links
         out.related, out.structural, out.metadata = t.related.drop("pos"), t.structural, t.metadata
         out.config = BuildConfig().merged(t.metadata)
