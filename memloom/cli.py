@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+import time
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.api import MemoryGraph
-from memloom.config import DAY, BuildConfig, FilterConfig, SplitConfig, TemporalConfig, parse_temporal_mode
-from memloom.operators import retrieve, segments
+from memloom.config import DAY, BuildConfig, FilterConfig, SplitConfig, TemporalConfig, days_to_seconds, parse_temporal_mode
+from memloom.operators import analytics, retrieve, segments
 from memloom.sources import git, graph_json, symbols
 from memloom.tools import Tools, serve
 
@@ -29,14 +32,7 @@ def repository_turns(spark: SparkSession, repo: str, filters: FilterConfig, spli
         hunks = git.changed(spark, repo, max_commits)
         files = hunks.select("commit_id", "path").distinct()
 
-        @F.udf("string")
-        def source(commit: str, path: str) -> str | None:
-            try:
-                return git.git(repo, "show", f"{commit}:{path}")
-            except RuntimeError:
-                return None
-
-        found = symbols.symbols(files.withColumn("source", source("commit_id", "path")))
+        found = symbols.symbols(git.contents(files, repo))
         return symbols.symbol_turns(commits, symbols.changed_symbols(found, hunks), turns)
     return turns.select("commit_id", "speaker", "content", "timestamp", none.alias("symbol_id"), none.alias("ast_node_type"), none.alias("file_path"))
 
@@ -75,9 +71,40 @@ def update(args: argparse.Namespace) -> int:
     return ingest(args)
 
 
+def moment(text: str) -> int:
+    """Epoch seconds, given as such or as an RFC 3339 time."""
+    if text.lstrip("-").isdigit():
+        return int(text)
+    got = datetime.fromisoformat(text)
+    if got.tzinfo is None:
+        raise ValueError("a time needs its offset")
+    return int(got.timestamp())
+
+
+def note(args: argparse.Namespace) -> int:
+    if not args.json:
+        return tool("inspect_note", "note_id", "links_k")(args)
+    graph = MemoryGraph.load(session(), args.graph)
+    try:
+        found = analytics.note(graph.notes.drop("embedding"), graph.clusters, args.note_id).toJSON().first()
+    except KeyError as error:
+        print(f"Error: {error.args[0]}")
+        return 1
+    links = [{"note_id": r["note_id"], "score": r["score"]} for r in graph.related_notes(args.note_id, args.links_k or 10).collect()]
+    print(json.dumps({**json.loads(found), "links": links}))
+    return 0
+
+
 def query(args: argparse.Namespace) -> int:
     graph = MemoryGraph.load(session(), args.graph)
     cfg = TemporalConfig(not args.no_temporal, args.temporal_weight, parse_temporal_mode(args.temporal_mode), int(args.temporal_half_life_days * DAY), now=args.temporal_now)
+    start, end = args.time_start, args.time_end
+    if args.time_window_days is not None:
+        end = end or args.temporal_now or int(time.time())
+        start = end - days_to_seconds(args.time_window_days)
+    if start is not None or end is not None:  # only notes of that time are candidates
+        low, high = start if start is not None else 0, end if end is not None else (1 << 62)
+        graph.notes = graph.notes.where(F.exists("sources", lambda s: s["ts"].between(low, high)))
     found = graph.query(args.query, top_k=args.top_k, candidate_k=args.candidate_k, min_score=args.min_score, cfg=cfg, keyword_weight=args.keyword_weight, file_filter=args.file, symbol_filter=args.symbol)
     hits = retrieve.group_by_commit(retrieve.with_rank(found))
     top = graph.long_range_links(args.links_k or 5)
@@ -116,6 +143,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True)
         p.add_argument("--max-commits", type=int)
         p.add_argument("--append", action="store_true")
+        p.add_argument("--include-diff", action="store_true", help="accepted and without effect: messages alone are ingested")
         p.add_argument("--incremental", action="store_true")
         p.add_argument("--git-filter-preset")
         p.add_argument("--git-filter-drop", action="append")
@@ -142,13 +170,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--temporal-weight", type=float, default=0.20)
     p.add_argument("--temporal-mode", default="exponential")
     p.add_argument("--temporal-half-life-days", type=float, default=14.0)
-    p.add_argument("--temporal-now", type=int)
+    p.add_argument("--temporal-now", type=moment, help="epoch seconds or an RFC 3339 time")
+    p.add_argument("--time-start", type=moment, help="epoch seconds or an RFC 3339 time")
+    p.add_argument("--time-end", type=moment, help="epoch seconds or an RFC 3339 time")
+    p.add_argument("--time-window-days", type=float)
     p.set_defaults(run=query)
     p = commands.add_parser("note")
     p.add_argument("--graph", required=True)
     p.add_argument("--note-id", type=int, required=True)
     p.add_argument("--links-k", type=int)
-    p.set_defaults(run=tool("inspect_note", "note_id", "links_k"))
+    p.add_argument("--json", action="store_true")
+    p.set_defaults(run=note)
     p = commands.add_parser("hotspots")
     p.add_argument("--graph", required=True)
     p.add_argument("--top-k", type=int, default=10)

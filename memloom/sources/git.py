@@ -6,6 +6,7 @@ import re
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -15,17 +16,19 @@ _HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 
 
-def git(repo: str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", repo, *args], capture_output=True)
+def git(repo: str, *args: str, given: str | None = None) -> str:
+    done = subprocess.run(["git", "-C", repo, *args], capture_output=True, input=None if given is None else given.encode())
     if done.returncode:
         raise RuntimeError(done.stderr.decode(errors="replace").strip())
     return done.stdout.decode(errors="replace")
 
 
 class Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        super().__init__((first, count))
-        self.first, self.count = first, count
+    """Successive commits: the place of the first, and the ids."""
+
+    def __init__(self, first: int, ids: list[str]):
+        super().__init__((first, ids))
+        self.first, self.ids = first, ids
 
 
 class _CommitReader(DataSourceReader):
@@ -35,12 +38,13 @@ class _CommitReader(DataSourceReader):
         self.size = int(options.get("commits_per_partition", 2000))
 
     def partitions(self) -> list[Range]:
-        total = int(git(self.repo, "rev-list", "--count", "HEAD"))
-        total = total if self.most is None else min(total, self.most)
-        return [Range(i, min(self.size, total - i)) for i in range(0, total, self.size)]
+        limit = [] if self.most is None else [f"--max-count={self.most}"]
+        ids = git(self.repo, "rev-list", "--date-order", *limit, "HEAD").split()
+        return [Range(i, ids[i : i + self.size]) for i in range(0, len(ids), self.size)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        out = git(self.repo, "log", "-z", "--date-order", f"--skip={partition.first}", f"--max-count={partition.count}", f"--format={_FORMAT}", "HEAD")
+        # by their ids, so that no partition walks the history again
+        out = git(self.repo, "log", "-z", "--no-walk=unsorted", "--stdin", f"--format={_FORMAT}", given="\n".join(partition.ids) + "\n")
         for at, record in enumerate(r for r in out.split("\0") if r.strip()):
             sha, parents, author, ts, message = record.lstrip("\n").split("\x1f", 4)
             yield sha, (parents.split() or [None])[0], author or "unknown", int(ts), message, partition.first + at
@@ -111,3 +115,31 @@ def changed(spark: SparkSession, repo: str, max_commits: int | None = None) -> D
     if max_commits is not None:
         reader = reader.option("max_commits", max_commits)
     return reader.load(repo)
+
+
+def contents(files: DataFrame, repo: str) -> DataFrame:
+    """files (commit_id, path) with ``source``, the file's text at that commit, or null where it
+    isn't there.  One git process serves a whole partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as store:
+
+            def text(commit: str, path: str) -> str | None:
+                if "\n" in path:
+                    return None
+                store.stdin.write(f"{commit}:{path}\n".encode())
+                store.stdin.flush()
+                head = store.stdout.readline().split()
+                if head[-1:] == [b"missing"] or len(head) < 3 or not head[-1].isdigit():
+                    return None
+                data = store.stdout.read(int(head[-1]))
+                store.stdout.read(1)
+                return data.decode(errors="replace") if head[-2] == b"blob" else None
+
+            for batch in batches:
+                ids, paths = batch.column(0), batch.column(1)
+                found = [text(c, p) for c, p in zip(ids.to_pylist(), paths.to_pylist())]
+                yield pa.RecordBatch.from_arrays([ids, paths, pa.array(found, pa.string())], names=["commit_id", "path", "source"])
+            store.stdin.close()
+
+    return files.select("commit_id", "path").mapInArrow(run, "commit_id string, path string, source string")

@@ -3,8 +3,10 @@ import json
 import subprocess
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from memloom import cli
 from memloom.api import MemoryGraph
 from memloom.cli import repository_turns
 from memloom.config import FilterConfig, SplitConfig
@@ -48,6 +50,46 @@ def test_turns_by_symbol(spark, repo):
     assert got == [("feat: start", "function_definition:one"), ("feat: start", "function_definition:two"), ("fix: one", "function_definition:one")]
 
 
+def test_file_contents(spark, repo):
+    rows = git.commits(spark, repo).select("commit_id").collect()
+    files = spark.createDataFrame([(rows[0][0], "a.py"), (rows[1][0], "a.py"), (rows[0][0], "none.py"), ("0" * 40, "a.py")], "commit_id string, path string").coalesce(1)
+    got = {(r["commit_id"], r["path"]): r["source"] for r in git.contents(files, repo).collect()}
+    assert "return 11" in got[rows[0][0], "a.py"] and "return 1\n" in got[rows[1][0], "a.py"]
+    assert got[rows[0][0], "none.py"] is None and got["0" * 40, "a.py"] is None
+
+
+def test_times_on_the_command_line():
+    assert cli.moment("1700000000") == 1_700_000_000 == cli.moment("2023-11-14T22:13:20Z") == cli.moment("2023-11-14T23:13:20+01:00")
+    with pytest.raises(ValueError):
+        cli.moment("2023-11-14T22:13:20")
+    args = cli.parser().parse_args(["query", "--graph", "g", "--query", "q", "--time-start", "2023-11-14T22:13:20Z", "--time-window-days", "2"])
+    assert args.time_start == 1_700_000_000 and args.time_window_days == 2
+
+
+def test_note_as_json_and_time_ranges(spark, tmp_path, capsys):
+    turns = spark.createDataFrame([(i + 1, "a", f"text {i}", f"c{i}", 1_700_000_000 + i * 100) for i in range(5)], "turn_id long, speaker string, content string, commit_id string, timestamp long")
+    g = MemoryGraph(spark)
+    g.ingest_turns(turns)
+    g.build()
+    path = str(tmp_path / "g")
+    g.save(path)
+    assert cli.main(["note", "--graph", path, "--note-id", "2", "--json"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["note_id"] == 2 and shown["raw_content"] == "text 2" and isinstance(shown["links"], list)
+    assert cli.main(["note", "--graph", path, "--note-id", "99", "--json"]) == 1 and "Error" in capsys.readouterr().out
+    assert cli.main(["query", "--graph", path, "--query", "text 1", "--min-score", "-1", "--json", "--time-start", "1700000100", "--time-end", "2023-11-14T22:15:00Z"]) == 0
+    assert {r["commit_id"] for r in json.loads(capsys.readouterr().out)["results"]} <= {"c1"}
+
+
+def test_hash_embedder_by_brute_force(spark):
+    """The value of a dimension is the hash of text and dimension, chained, over the range of 64-bit numbers."""
+    df = HashEmbedder(5).embed(spark.createDataFrame([("some text",), ("",)], "t string"), "t", "v")
+    for r in df.collect():
+        for i, x in enumerate(r["v"]):
+            h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(r["t"].encode(), 42))
+            assert abs(x - (h - (1 << 64) * (h >> 63)) / 2**63) < 1e-6
+
+
 def test_scanners():
     r = symbols.Registry()
     rust = 'pub trait T {\n  fn f(&self);\n}\nimpl T for X {\n  fn g() { let s = "}"; }\n}\nstruct P;\n'
