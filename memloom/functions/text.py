@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a comment and a conventional header are.
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HEADER = r"^[A-Za-z][A-Za-z0-9()\-_/]*:\s*\S"
 ELLIPSIS = "…"

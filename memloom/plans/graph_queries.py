@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memloom.config import DAY, BuildConfig, TemporalConfig
 from memloom.functions import temporal, vec
 from memloom.operators import analytics, graph, notes as N, retrieve, spectral, views
+from memloom.operators.settle import settled
 from memloom.plans.registry import query
 from memloom.sources import fixtures as fx
 
@@ -88,11 +89,36 @@ def b09(spark, d):
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(values)], "idx int, value double")
 
 
-@query("b12_eigengap", "with v as (select note_id as idx, degree as value from (select row_number() over (order by vec_id) - 1 as note_id, sum(label) over (order by vec_id) as degree from embeddings where vec_id < 8)), g as (select idx, value - lag(value) over (order by idx) as gap from v) select greatest(2, coalesce((select idx from g where gap > 0 order by gap desc, idx limit 1), 2))::int as clusters")
+@query("b09_block_lanczos", "select i::int as idx, true as agrees from range(8) t(i)")
+def b09_lanczos(spark, d):
+    """Whether the solver for large graphs gives the values of the dense one, which solves the same graph here."""
+    n, edges = fx.notes(spark, d).select("note_id"), settled(fx.sim(spark, d))
+    values, _, _ = spectral.dense_eigen(n, edges, _CFG.spectral_dims)
+    others, _ = spectral.lanczos_eigen(n, edges, _CFG.spectral_dims)
+    return spark.createDataFrame([(i, abs(float(x) - float(y)) < 1e-6) for i, (x, y) in enumerate(zip(values, others))], "idx int, agrees boolean")
+
+
+@query("b10_eigenvector_residuals", "select i::int as idx, true as solved from range(8) t(i)")
+def b10(spark, d):
+    """Whether each eigenvector v of value x has unit length and Lv = xv at every note, by the graph's own product."""
+    n, edges = fx.notes(spark, d).select("note_id"), settled(fx.sim(spark, d))
+    values, coords = spectral.lanczos_eigen(n, edges, _CFG.spectral_dims)
+    coords, matrix = settled(coords), settled(graph.laplacian(n, edges))
+    out = None
+    for i, x in enumerate(values):
+        v = coords.select(F.col("note_id").alias("i"), F.get("coords", F.lit(i)).alias("v"))
+        both = graph.matrix_vector(matrix, v.withColumnRenamed("v", "x")).join(v, "i")
+        ok = (F.max(F.abs(F.col("x") - float(x) * F.col("v"))) < 1e-6) & (F.abs(F.sum(F.col("v") * F.col("v")) - 1) < 1e-9)
+        row = both.agg(ok.alias("solved")).select(F.lit(i).alias("idx"), "solved")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("b12_eigengap", "with v as (select note_id as idx, degree as value from (select row_number() over (order by vec_id) - 1 as note_id, sum(label) over (order by vec_id) as degree from embeddings)), g as (select idx, value - lag(value) over (order by idx) as gap from v) select greatest(2, coalesce((select idx from g where gap > 0 order by gap desc, idx limit 1), 2))::int as clusters")
 def b12(spark, d):
     from pyspark.sql import Window
 
-    e = fx.read(spark, d, "embeddings").where("vec_id < 8")
+    e = fx.read(spark, d, "embeddings")
     values = e.select(F.col("vec_id").cast("int").alias("idx"), F.sum("label").over(Window.orderBy("vec_id")).alias("value"))
     return spectral.eigengap_of(values)
 
@@ -101,7 +127,7 @@ _COORDS = "coords as (select vec_id as note_id, (embedding::double[])[1:8] as c
 
 
 def _coords(spark, d):
-    n = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("note_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("coords"))
+    n = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("note_id"), F.col("embedding").cast("array<double>").alias("coords"))
     return spectral.spectral_embedding(n, 8, n.count())
 
 
@@ -299,6 +325,8 @@ def r13(spark, d):
 
 _QUERY = f"{_SCORED}, {_CAND.format(t='kw', k=50)}, {_TEMP}, res as (select *, row_number() over (order by final_score desc, raw_score desc, note_id) as rank from rr where final_score >= 0.2 order by rank limit 10)"
 
+QUERY_SQL = _QUERY
+
 
 def _query(spark, d):
     return retrieve.query(fx.notes(spark, d), fx.query_vector(spark, d), fx.KEYWORD, top_k=10, min_score=0.2, cfg=_cfg())
@@ -466,7 +494,20 @@ def g11(spark, d):
     return n
 
 
-@query("g11_neighbourhood_depth3")
+_WALK = f"""{_REL}, back as (select dst as p, src as other, max(score) as score from related group by dst, src),
+lr as (select dst as other, score from related where src = 3 order by score desc, dst limit 8),
+seen as ((select score from related where src = 3 order by dst limit 8) union all (select score from back where p = 3 order by other limit 8) union all select score from lr),
+th as (select case when max(score) - min(score) <= 1e-9 then min(score) else min(score) + 0.2 * (max(score) - min(score)) end as t from seen),
+o as (select src as p, dst as other, score, 0 as side from related union all select p, other, score, 1 from back),
+r as (select *, row_number() over (partition by p order by side, score desc, other) as nth from o), k as (select r.* from r, th where nth <= 8 and score >= t),
+s1 as (select * from k where p = 3), f1 as (select distinct other as n from s1 where other <> 3),
+s2 as (select * from k where p in (select n from f1)), f2 as (select distinct other as n from s2 where other <> 3 and other not in (select n from f1)),
+s3 as (select * from k where p in (select n from f2)), s as (select * from s1 union all select * from s2 union all select * from s3),
+e as (select case when side = 0 then p else other end as src, case when side = 0 then other else p end as dst, case when side = 0 then 'related_out' else 'related_in' end as kind, score from s
+  union all select 3, other, 'long_range', score from lr, th where score >= t)"""
+
+
+@query("g11_neighbourhood_depth3", f"with {_WALK} select src, dst, kind, {_r('max(score)')} as score from e group by src, dst, kind")
 def g11_deep(spark, d):
     _, e = views.neighbourhood(fx.notes(spark, d), fx.related(spark, d), fx.links(spark, d), 3, depth=3, share=0.2)
     return e.select("src", "dst", "kind", F.round("score", 6).alias("score"))

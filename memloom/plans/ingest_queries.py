@@ -202,12 +202,12 @@ def t27(spark, d):
 
 @query(
     "t28_parse_links",
-    r"""with e as (select event_id, unnest(regexp_split_to_array(concat(user_id, ':', round(value, 2), ', ', event_id, ' x:1 ', user_id, 'ab:2'), '[\s,]+')) as s from events where event_id < 500),
+    r"""with e as (select event_id, unnest(regexp_split_to_array(concat(user_id, ':', round(value, 2), ', ', event_id, ' x:1 ', user_id, 'ab:2'), '[\s,]+')) as s from events),
 q as (select event_id, try_cast(regexp_extract(s, '^([+-]?\d+)', 1) as bigint) as note_id, case when contains(s, ':') then try_cast(regexp_extract(split_part(s, ':', 2), '^([+-]?(?:\d+\.?\d*|\.\d+))', 1) as double) else 0 end as score from e)
 select event_id, note_id, score from q where note_id is not null and score is not null""",
 )
 def t28(spark, d):
-    e = fx.read(spark, d, "events").where("event_id < 500")
+    e = fx.read(spark, d, "events")
     text = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.round("value", 2).cast("string"), F.lit(", "), F.col("event_id").cast("string"), F.lit(" x:1 "), F.col("user_id").cast("string"), F.lit("ab:2"))
     return e.select("event_id", F.inline(X.parse_links(text)))
 

@@ -12,12 +12,12 @@ NOW = 1_706_745_600
 KEYWORD = "click"
 
 NOTES_SQL = """
-notes as (select e.vec_id as note_id, e.embedding::double[] as v, e.label as label, substr(d.text, 1, 160) as raw_content, e.vec_id + 1 as turn_id,
+notes as (select e.vec_id as note_id, e.embedding::double[] as v, e.label as label, d.text as raw_content, e.vec_id + 1 as turn_id,
   case when e.vec_id % 5 = 4 then null else concat('function_item:', ev.event_type, '_', cast(ev.user_id % 10 as varchar)) end as symbol_id,
   case when e.vec_id % 5 = 4 then null when ev.event_type = 'signup' then 'API_DEFINITION' else 'IMPLEMENTATION' end as ast_node_type,
   case when e.vec_id % 7 = 6 then null else concat('src/', ev.event_type, '/mod_', cast(e.label as varchar), '.rs') end as file_path,
   concat('c', cast(cast(floor(e.vec_id / 3) as bigint) as varchar)) as commit_id, cast(floor(epoch(ev.ts)) as bigint) as ts
-  from embeddings e join events ev on ev.event_id = e.vec_id left join documents d on d.doc_id = e.vec_id % 200)"""
+  from embeddings e join events ev on ev.event_id = e.vec_id left join documents d on d.doc_id = e.vec_id)"""
 COMMITS_SQL = """
 commits as (select doc_id, concat('d', cast(doc_id as varchar)) as commit_id, source as author, 1704067200 + doc_id * 3600 as ts,
   case doc_id % 5 when 0 then text when 1 then concat('fix(', source, '): ', replace(text, chr(10), concat(chr(10), 'fix(', source, '): ')))
@@ -40,13 +40,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    d = read(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.substring("text", 1, 160).alias("raw_content"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_content"))
     has = F.col("vec_id") % 5 != 4
     symbol = F.concat(F.lit("function_item:"), F.col("event_type"), F.lit("_"), (F.col("user_id") % 10).cast("string"))
     path = F.concat(F.lit("src/"), F.col("event_type"), F.lit("/mod_"), F.col("label").cast("string"), F.lit(".rs"))
     commit = F.concat(F.lit("c"), F.floor(F.col("vec_id") / 3).cast("bigint").cast("string"))
     ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    joined = e.join(ev, F.col("event_id") == F.col("vec_id")).join(d, F.col("doc_id") == F.col("vec_id") % 200, "left")
+    joined = e.join(ev, F.col("event_id") == F.col("vec_id")).join(d, F.col("doc_id") == F.col("vec_id"), "left")
     return joined.select(
         F.col("vec_id").alias("note_id"),
         "raw_content",
