@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.shared import Scratch, checked_broadcast, components, parallelism
-from memloom.llm.word_hashes import mix, shingle_sets, slices
+from memloom.llm.word_hashes import mix, overlap, shingle_sets, slices
 
 #: Most matches a prefix may be lengthened for: so many, or this percentage of the set.
 MATCHES, MATCHES_PERCENT = 4, 8
@@ -155,14 +155,6 @@ def _required_matches(entries: DataFrame, percent: int) -> DataFrame:
     return by_set.where(~none).select("rep", F.least(*options)["m"].alias("m"))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
 def join_block(left: list[int], right: list[int] | None, ids: list[int], sets: list[np.ndarray], weights: list[int], percent: int):
     """All similar pairs between two lists of sets (or within one): a spanning forest of them as
     index pairs, and for each set the sum of the weights of those it is linked with."""
@@ -244,7 +236,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reachable by links, n_links the number of documents linked with.  Documents without words
     or text have an empty set and link with nothing, nor do rows with a null identifier
     (component_id null).  Rows that repeat an identifier are taken for one document where they
-    link.  An empty table gives an empty result; other columns of df are ignored.
+    link.  Texts of any length are taken whole.  An empty table gives an
+    empty result; other columns of df are ignored.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")

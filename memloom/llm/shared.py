@@ -12,9 +12,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; every use counts the rows first and shuffles beyond.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a side may be broadcast; every use adds them up first and shuffles beyond.
+BROADCAST_BYTES = 16 << 20
+#: Parts a frequent key's rows are dealt to where they meet what is looked up for it.
+LANES = 64
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -65,14 +68,43 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, roughly."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(column), F.lit(0)) * _fixed(kind.elementType) + 16
+    return F.lit(_fixed(kind))
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has few rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+def _fixed(kind: T.DataType) -> int:
+    return 8 + sum(_fixed(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 16 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of a written table take at most so many bytes."""
+    width = F.lit(8)
+    for f in df.schema.fields:
+        width = width + _width(F.col(f"`{f.name}`"), f.dataType)
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows take few bytes; else df as it is, for a shuffled join."""
+    return F.broadcast(df) if small(df, most) else df
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table that has one row for each key, however many rows a key has.
+
+    Broadcast if small.  Else each key's rows are dealt to LANES by the column ``spread``, and
+    what is found for the key goes to those lanes only that have rows of it.
+    """
+    if small(found):
+        return rows.join(F.broadcast(found), keys, how)
+    laned = rows.withColumn("_lane", F.pmod(F.xxhash64(spread), F.lit(LANES)).cast("int"))
+    met = laned.select(*keys, "_lane").distinct().join(found, keys)
+    return laned.join(met, [*keys, "_lane"], how).drop("_lane")
 
 
 def fresh(columns: list[str], name: str) -> str:

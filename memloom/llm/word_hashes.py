@@ -103,6 +103,14 @@ def shingle_sets(texts: list[bytes | None], k: int, lower: bool = True) -> list[
     return out
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def slices(values: list, weight, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of values whose weights sum to about most; at least one value each."""
     first, total = 0, 0
