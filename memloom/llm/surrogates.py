@@ -4,23 +4,29 @@ Mentions are found by patterns and cut into parts: an address into user and doma
 into given name and surname, a number into its digits.  Each distinct part of the corpus gets
 one surrogate, so the same part reads the same everywhere (coreference), in whatever format
 it stands.  A surrogate is drawn from a keyed hash of the part: digits and letters in the same
-places, card numbers with a check digit if the original has one, reserved addresses, names of
-the same gender and script.  Surrogates that several parts draw, or that occur in the corpus
-themselves, are drawn again for all but the smallest part, until all differ (distinctness).
+places, card and account numbers with right check digits if the original's are right, reserved
+addresses, names of the same gender and script.  Surrogates that several parts draw, or that
+occur in the corpus themselves, are drawn again for all but the smallest part, until all differ
+(distinctness).  What is left when a format has too few values gets a keyed tag instead.
 
 DataFrame functions only: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.shared import Scratch, fresh
 
-ATTEMPTS = 40
+#: Attempts at a surrogate, round by round; of a round's attempts a part takes the first that is free.
+ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11))
 #: Secrets with fewer letters and digits, and those left after so many attempts, get surrogates that don't keep their shape.
 LEAST_SHAPED, SHAPED_ATTEMPTS = 4, 4
+#: How a tag begins, which stands where all attempts failed.
+TAG = "<"
 # Patterns of the entities, and words that introduce a person, by gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
@@ -158,6 +164,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_chars(digits)), weigh), F.lit(0), lambda a, b: a + b) % 10
 
 
+def _mod_97(text: Column) -> Column:
+    """Digits and letters (A = 10 to Z = 35) as one number, modulo 97."""
+
+    def add(sum_: Column, c: Column) -> Column:
+        figure = c.between("0", "9")
+        return (sum_ * F.when(figure, 10).otherwise(100) + F.when(figure, c.cast("int")).otherwise(F.ascii(c) - 55)) % 97
+
+    return F.aggregate(_chars(text), F.lit(0), add)
+
+
 def _of(names: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
 
@@ -179,7 +195,10 @@ def draw(key: str, attempt: int) -> Column:
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     last = F.when(_luhn(value) == 0, check).otherwise((check + 1 + n[10] % 9) % 10)
     card = F.concat(body, last.cast("string"))
-    iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, 3, 99))
+    country, account = F.substring(value, 1, 2), F.expr("substring(_shaped, 5, 99)")
+    right = 98 - _mod_97(F.concat(account, country, F.lit("00")))
+    valid = _mod_97(F.concat(F.substring(value, 5, 99), F.substring(value, 1, 4))) == 1
+    iban = F.concat(country, F.lpad(F.when(valid, right).otherwise((right - 1 + n[10] % 95) % 97 + 2).cast("string"), 2, "0"), account)
     # where the shape leaves too few values
     poor = F.length(F.regexp_replace(value, "[^0-9a-zA-Zа-яα-ω]", "")) < LEAST_SHAPED
     wide = kind.isin("secret", "hex") if attempt >= SHAPED_ATTEMPTS else (kind == "secret") & poor
@@ -196,21 +215,28 @@ def draw(key: str, attempt: int) -> Column:
 
 def assign(scratch: Scratch, originals: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for each distinct (kind, value): surrogates of a kind all differ, and none is a value of its kind."""
+    taken = scratch.table(originals.select("kind", F.lower("value").alias("_low")).distinct(), "taken")
     pending, accepted = originals, None
-    for attempt in range(ATTEMPTS):
-        shaped = _shape(F.col("value"), _stream(key, F.lit(attempt)))
-        drawn = pending.withColumn("_shaped", F.when(F.col("kind") == "card", shaped)).withColumn("surrogate", draw(key, attempt)).drop("_shaped")
-        taken = originals.select("kind", F.col("value").alias("_low"))
-        free = drawn.withColumn("_low", F.lower("surrogate")).join(taken.withColumn("_low", F.lower("_low")).distinct(), ["kind", "_low"], "left_anti").drop("_low")
+    for attempts in ROUNDS:
+        drawn = []
+        for n in attempts:
+            shaped = _shape(F.col("value"), _stream(key, F.lit(n)))
+            drawn.append(pending.withColumn("_shaped", F.when(F.col("kind").isin("card", "iban"), shaped)).select("kind", "value", F.lit(n).alias("n"), draw(key, n).alias("surrogate")))
+        tried = reduce(DataFrame.unionByName, drawn)
+        free = tried.withColumn("_low", F.lower("surrogate")).join(taken, ["kind", "_low"], "left_anti").drop("_low")
         if accepted is not None:
             free = free.join(accepted.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = scratch.table(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"), "won")
+        # a surrogate goes to one part, and a part takes the first of those that go to it
+        owned = free.groupBy("kind", "surrogate").agg(F.min(F.struct("n", "value")).alias("first")).select("kind", "surrogate", "first.n", "first.value")
+        won = owned.groupBy("kind", "value").agg(F.min_by("surrogate", "n").alias("surrogate")).select("kind", "value", "surrogate")
+        won = scratch.table(won, "won")
         accepted = won if accepted is None else accepted.unionByName(won)
-        left = scratch.table(pending.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "pending")
-        if left.isEmpty():
+        pending = scratch.table(pending.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "pending")
+        if pending.isEmpty():
             return accepted
-        pending = left
-    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts; a format has too few values")
+    seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("tag"), F.col("kind"), F.col("value")), 256)
+    tags = pending.select("kind", "value", F.concat(F.lit(TAG), F.regexp_extract("kind", "^[a-z]+", 0), F.lit("-"), F.substring(seed, 1, 32), F.lit(">")).alias("surrogate"))
+    return accepted.unionByName(tags)
 
 
 def _render(part: Column, names: Column) -> Column:
@@ -227,7 +253,7 @@ def _render(part: Column, names: Column) -> Column:
     filled = F.array_join(F.transform(_chars(text), digit), "")
     spaced = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, place(i, " "), F.lit(1)))), "")
     loud = (F.length(text) > 1) & (text == F.upper(text)) & (text != F.lower(text)) & ~kind.isin("hex", "secret", "cloud_key", "iban")
-    return F.when(kind == "", text).when(kind.isin("phone", "card", "ssn"), filled).when(kind == "iban", spaced).when(loud, F.upper(new)).otherwise(new)
+    return F.when(kind == "", text).when(new.startswith(TAG), new).when(kind.isin("phone", "card", "ssn"), filled).when(kind == "iban", spaced).when(loud, F.upper(new)).otherwise(new)
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "memloom") -> DataFrame:
@@ -235,8 +261,10 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "memloom") ->
     (with more underscores if there is such a column).
 
     All other columns stay.  Null texts stay null; texts without a mention stay as they are to
-    the byte.  Equal mentions get equal surrogates in all rows; the key decides them.  Repeated
-    rows are each treated alike, an empty table gives an empty result.
+    the byte.  Equal mentions get equal surrogates in all rows; the key decides them.  A format
+    with too few values for all its mentions gets tags (such as ``<ssn-...>``) for the rest.
+    Repeated rows are each treated alike, an empty table gives an empty result; texts of any
+    length are taken whole.
     """
     scratch = Scratch(df.sparkSession, "surrogates")
     number = fresh(df.columns, "_mentions")

@@ -53,6 +53,73 @@ def test_lines(spark):
         assert out[i]["text"] == "\n".join(rest) and out[i]["_dropped"] == len(t.split("\n")) - len(rest)
 
 
+def test_recall_of_the_bands(spark):
+    """Of 3,000 pairs of lines of similarity 0.8 to 0.95 at least 98 % share a band."""
+    rng = random.Random(3)
+    rows = []
+    while len(rows) < 6000:
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 240))).strip()
+        b = list(a)
+        for _ in range(rng.randrange(1, 4)):
+            b[rng.randrange(len(b))] = "Z"
+        b = "".join(b).strip()
+        x, y = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.95:
+            n = len(rows) // 2
+            rows += [(n, 0, a), (n, 1, b)]
+    df = L.with_bands(spark.createDataFrame(rows, "n long, side int, line string"), "line").select("n", F.explode("bands").alias("band"), "side")
+    met = df.groupBy("n", "band").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("n").distinct().count()
+    assert met >= 0.98 * 3000
+
+
+def test_large_bands_lose_nothing(spark, monkeypatch):
+    """Lines of one common phrase and several families, all in bands of many more lines than are
+    compared pairwise: every similar pair is linked, whichever line comes first in its band."""
+    rng = random.Random(11)
+    phrase = "this very phrase stands in all of the lines of the table"
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    lines = []
+    for _ in range(40):
+        own = make(8)
+        lines += [f"{phrase} {own} {make(1)}" for _ in range(3)]
+    lines = sorted(set(lines))
+    sets = {x: {x[i : i + 8] for i in range(len(x) - 7)} for x in lines}
+    want = {frozenset((x, y)) for i, x in enumerate(lines) for y in lines[i + 1 :] if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    h1, h2 = L.both_hashes(F.col("text"))
+    # one band for all: the worst case
+    table = df.select(h1.alias("h1"), h2.alias("h2"), F.struct(F.lit(False).alias("last"), "doc_id", F.lit(0).alias("line_no")).alias("place"), F.array(F.lit(1).cast("long")).alias("bands"), "text")
+    name = {r["h1"]: r["text"] for r in table.collect()}
+    up = {x: x for x in lines}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in want:
+        up[root(x)] = root(y)
+    for size in (512, 20):  # the band in one block, and in several
+        monkeypatch.setattr(L, "BLOCK_LINES", size)
+        linked = {name[r["node"]]: r["component"] for r in L.linked_lines(L.Scratch(spark, "t"), df, table.drop("text"), "doc_id", "text", 0.8).collect()}
+        classes, wanted = defaultdict(set), defaultdict(set)
+        for x in lines:
+            classes[linked.get(x, x)].add(x)
+            wanted[root(x)].add(x)
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, wanted.values())) and len(wanted) < 60
+
+
+def test_lines_without_an_identifier(spark):
+    line = "a line of some length that two documents without a name have"
+    rows = [(None, line + "\nshort"), (None, line + "!\nshort"), (5, "short"), (6, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(tuple(r) for r in L.duplicate_lines(df).select("line_no", "keep_line_no").collect())
+    assert out == [(0, 0)] or out == []  # both places are (null, 0): one stays, none is another's
+    named = df.unionByName(spark.createDataFrame([(9, line + "?")], df.schema))
+    assert {(r["keep_doc_id"], r["line_no"]) for r in L.duplicate_lines(named).collect()} == {(9, 0)}
+    assert {r["keep_doc_id"] for r in L.duplicate_lines(named, min_chars=0).collect()} == {9, 5}
+
+
 def test_line_cases(docs, texts, none):
     rows = L.line_report(docs).collect()
     assert len(rows) == len(texts)
@@ -115,6 +182,57 @@ def test_secrets_without_a_shape(spark):
     assert len({m[1] for m in new}) == len(values) and not {m[1] for m in new} & set(values)
 
 
+def iban_is_right(text):
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_account_numbers(spark):
+    right, wrong = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"
+    got = surrogates(spark, [f"{right}, {wrong} or DE89370400440532013000, GB29NWBK60161331926819"])[0]
+    a, b, c, d = re.findall(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+", got)
+    assert iban_is_right(right) and not iban_is_right(wrong)
+    assert a != right and a.replace(" ", "") == c and re.fullmatch(r"DE\d\d(?: \d{4}){4} \d\d", a)
+    assert iban_is_right(a) and not iban_is_right(b) and iban_is_right(d) and d[:2] == "GB" and d[4:8].isalpha()
+
+
+def test_a_format_without_values_left(spark, monkeypatch):
+    """With one attempt only, most given names find none: they get tags, all different, the same in all rows."""
+    monkeypatch.setattr(S, "ROUNDS", ((0,),))
+    names = [f"{a}{b}" for a in "BCDFGHJKLM" for b in ("al", "er", "in", "ob")]
+    got = surrogates(spark, [f"Mr {n} Smith" for n in names] * 2)
+    firsts = [re.fullmatch(r"Mr (\S+) \S+", t)[1] for t in got]
+    assert firsts[:40] == firsts[40:] and len(set(firsts)) == 40 and sum(f.startswith("<given-") for f in firsts) > 40
+
+
+def test_coreference_and_distinctness(spark):
+    """Every mention of the corpus, by brute force: the same original has one surrogate wherever it
+    stands, different ones have different ones, and no surrogate is an original."""
+    rng = random.Random(12)
+    make = {
+        "mail": lambda: f"{rng.choice('abcdefg')}{rng.randrange(30)}@host{rng.randrange(5)}.org",
+        "ip": lambda: f"10.{rng.randrange(3)}.0.{rng.randrange(20)}",
+        "ssn": lambda: f"{rng.randrange(100, 110)}-{rng.randrange(10, 14)}-1234",
+        "key": lambda: f"token={rng.randrange(40):06x}ab",
+        "mask": lambda: "password: " + rng.choice(["********", "######", "......", "秘密秘密秘密"]),
+    }
+    kinds = sorted(make)
+    mentions = [[make[k]() for k in kinds] for _ in range(60)]
+    texts = [" | ".join(m) for m in mentions]
+    rows = [(i, t, "c") for i, t in enumerate(texts)] + [(5, texts[5], "c"), (None, texts[6], "c"), (99, None, None), (98, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mentions string")
+    out = S.pseudonymise(df, key="q").collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "_mentions", "__mentions"}
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r["text"])
+    assert by[99] == [None] and by[98] == [""] and len(by[5]) == 2 and by[5][0] == by[5][1] and by[None] == by[6]
+    for at, kind in enumerate(kinds):
+        pairs = {(m[at], by[i][0].split(" | ")[at]) for i, m in enumerate(mentions)}
+        old, new = {p[0] for p in pairs}, {p[1] for p in pairs}
+        assert len(pairs) == len(old) == len(new) and not old & new, kind
+
+
 def test_surrogate_cases(docs, none):
     out = S.pseudonymise(docs)
     assert out.count() == docs.count() and out.drop("_mentions").columns == docs.columns and out.agg(F.sum("_mentions")).first()[0] == 0
