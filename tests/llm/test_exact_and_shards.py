@@ -24,6 +24,12 @@ def test_exact_dedup(docs, texts, fan_in):
         assert sum(r["kept"] for r in mine) == 1
 
 
+def test_runs_are_merged_in_order(docs):
+    """Each round of the tree sorts by digest and aggregates equal neighbours."""
+    plan = exact_dedup.exact_dedup(docs, fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 4 and "HashAggregate" not in plan
+
+
 def test_shards(spark, docs, texts):
     rows = feistel_shards.shard(docs, shards=5).collect()
     assert len(rows) == len(texts) and {r["law"] for r in rows} == {"rows"} and all(r["grown_shard"] is None for r in rows)
