@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from memloom.llm.shared import fresh
 
-#: Bound of the training sample: labelled documents of each language, and the characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 240, 12_000
+#: Bound of the training sample: labelled documents of each language, the characters of one of
+#: them, and labelled documents of all languages together, of which each then gets an equal part.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 240, 12_000, 24_000
 #: Words used of the sample for each language, half for the lexicon and half for the weights.
 SAMPLE_WORDS = 50_000
 #: Words of a chain; longer texts are labelled chain by chain, without gaps.
@@ -38,8 +39,11 @@ _RATES = (1.0, 2.0, 4.0, 8.0)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased; figures that count as word characters, such as ² or Ⅳ, part them."""
+    words = _WORD.findall(text.lower()) if text else []
+    if not "".join(words).isalpha() and words:
+        words = [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
+    return words
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -289,11 +293,18 @@ class Labeller:
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[str]]:
-    """The bounded training sample: of each language the labelled rows with the smallest hashes."""
+    """The bounded training sample: of each language the labelled rows with the smallest hashes.
+    Rows labelled ``und`` teach no language and are left out; so are labels beyond SAMPLE_ALL, in
+    the order of their names."""
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS) & (F.col(label_col) != UNKNOWN))
     keyed = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(11)).alias("h"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "id", "text"))
-    got = keyed.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).orderBy("nth", "label").select("text", "label").toPandas()
+    labels = df.select(F.col(label_col).cast("string").alias("label")).where(F.col("label") != UNKNOWN).distinct()
+    known = [r["label"] for r in labels.orderBy("label").limit(SAMPLE_ALL).collect()]
+    if not known:
+        return [], []
+    got = keyed.withColumn("nth", nth).where((F.col("nth") <= min(SAMPLE_DOCS, SAMPLE_ALL // len(known))) & (F.col("label") <= known[-1]))
+    got = got.orderBy("nth", "label").select("text", "label").toPandas()
     return got["text"].tolist(), got["label"].tolist()
 
 
@@ -375,7 +386,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     text alone.  lang_pred is a learned label, or ``und`` with score 0 where the text is null,
     has no letter, or nothing could be learned.  score is the share of the predicted language
     in the posterior mass over the text's letters.  An empty table gives an empty result; rows
-    that repeat are each predicted; other columns of df are ignored.
+    that repeat are each predicted; texts of any length are labelled whole, chain by chain; other columns of df are ignored.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", held_out("doc_id"))

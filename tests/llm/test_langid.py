@@ -53,6 +53,23 @@ def test_switched_text(spark, model):
     assert spans[2] == [] and spans[3] == []
 
 
+def test_words_are_letters(spark, model):
+    assert langid_crf.words_of("² ½ Ⅳ 12 _ \u0301") == [] and langid_crf.words_of("x² aⅣb Straße_3d") == ["x", "a", "b", "straße", "d"]
+    df = spark.createDataFrame([(1, "² ½ Ⅳ 12"), (2, "² the of")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["_lang"], r["_score"]) for r in langid_crf.predict(df, model, ["doc_id"]).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid_crf, "SAMPLE_ALL", 6)
+    rows = [(i, f"text {i}", f"l{i % 9}" if i % 10 else "und") for i in range(200)]
+    texts, labels = langid_crf.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert labels == ["l0", "l1", "l2", "l3", "l4", "l5"]
+    monkeypatch.setattr(langid_crf, "SAMPLE_ALL", 30)
+    texts, labels = langid_crf.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len(labels) == 27 and set(labels) == {f"l{i}" for i in range(9)}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
