@@ -2,7 +2,8 @@
 
 Texts and benchmark items are compared in a plain form: letters and digits lower-cased, every
 run of other characters one space.  An item of n characters may be found with up to k edits
-(``rate`` of n).  Cut into k + 1 pieces, one piece at least must then occur unchanged, so an
+(``rate`` of n, but no more than leave PIECE characters to a piece: an item of fewer than 20
+characters is found without edits only).  Cut into k + 1 pieces, one piece at least must then occur unchanged, so an
 Aho-Corasick pass over the whole text with all items' pieces finds every place worth looking
 at; there Myers' bit-parallel algorithm gives the smallest edit distance of the item.
 """
@@ -167,7 +168,9 @@ def find_items(df: DataFrame, benchmark: DataFrame, columns: list[str], text_col
     text: (item_id, distance, start, end), offsets in the plain form.
 
     Null or empty texts, and items null, empty or without letters and digits, match nothing;
-    a null item_id is kept as null.  Repeated items are each found.
+    a null item_id is kept as null.  Repeated items are each found, repeated rows each searched;
+    texts of any length are searched whole.  More than ITEM_CHARS characters of items are a
+    ValueError: they are to be matched in parts.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in columns]).schema.fields)
     blocks = list(passes(benchmark, item_col, item_text)) or [[]]

@@ -20,9 +20,9 @@ from memloom.llm.shared import Scratch
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Patterns kept whole, the largest first; documents of further patterns choose one of their
-#: sources by a hash and join its single-source pattern, so the flow's size stays bounded.
-MAX_PATTERNS = 512
+#: Membership patterns the driver solves the flow for, and the memberships in them; a table with
+#: more is refused before anything is collected (memberships are never dropped to fit).
+MAX_PATTERNS, MAX_MEMBERS = 100_000, 1_000_000
 #: Hash classes in a pattern's seeded order, as hex digits; only one class per pattern is sorted.
 CLASS_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,58 +48,88 @@ def min_cost_flow(supplies: dict, quotas: dict, repeats: int = REPEATS) -> dict:
     """Words of each pattern to each of its sources, {(pattern, source): words}.
 
     supplies: {pattern (a tuple of sources): words}.  Repetition r of a pattern's words costs
-    more than any earlier one and all other arcs are free, so successive cheapest augmenting
-    paths are found level by level: breadth-first through the residual arcs from patterns
-    whose current repetition is not used up.
+    more than any earlier one and all other arcs are free, so the flow is made greatest level by
+    level: the words of the first repetition, then those of the second, and so on, each time with
+    what flows already rerouted where that helps.  Within a level, flow is pushed along shortest
+    residual paths only, as long as there are any, phase by phase.
     """
     flow: dict = {}
     used = dict.fromkeys(supplies, 0)
     need = dict(quotas)
-    takers: dict = {}
+    takers: dict = {s: set() for s in need}
     for level in range(1, repeats + 1):
         while True:
-            before: dict = {}
-            queue = deque()
-            for p, words in supplies.items():
-                if used[p] < level * words:
-                    before["p", p] = None
-                    queue.append(("p", p))
-            end = None
-            while queue and end is None:
-                kind, node = queue.popleft()
-                if kind == "p":
-                    steps = [("s", s) for s in node if s in need]
-                else:
-                    if need[node] > 0:
-                        end = (kind, node)
-                        break
-                    steps = [("p", p) for p in takers.get(node, ()) if flow.get((p, node), 0) > 0]
-                for step in steps:
-                    if step not in before:
-                        before[step] = (kind, node)
-                        queue.append(step)
-            if end is None:
+            starts = [p for p, words in supplies.items() if used[p] < level * words]
+            steps = _layers(starts, need, takers, flow)
+            if steps is None:
                 break
-            path, at = [], end
-            while at is not None:
-                path.append(at)
-                at = before[at]
-            path.reverse()
-            amount = min(need[end[1]], level * supplies[path[0][1]] - used[path[0][1]])
-            for (ka, a), (_, b) in zip(path, path[1:]):
-                if ka == "s":
-                    amount = min(amount, flow[b, a])
-            for (ka, a), (_, b) in zip(path, path[1:]):
-                if ka == "p":
-                    flow[a, b] = flow.get((a, b), 0) + amount
-                    takers.setdefault(b, set()).add(a)
-                else:
-                    flow[b, a] -= amount
-            used[path[0][1]] += amount
-            need[end[1]] -= amount
+            for p in starts:
+                while (path := _path(p, steps, need)) is not None:
+                    amount = min([level * supplies[p] - used[p], need[path[-1]], *(flow[path[i + 1], path[i]] for i in range(1, len(path) - 1, 2))])
+                    if amount:
+                        for i in range(0, len(path), 2):
+                            flow[path[i], path[i + 1]] = flow.get((path[i], path[i + 1]), 0) + amount
+                            takers[path[i + 1]].add(path[i])
+                        for i in range(1, len(path) - 1, 2):
+                            flow[path[i + 1], path[i]] -= amount
+                            if not flow[path[i + 1], path[i]]:
+                                takers[path[i]].discard(path[i + 1])
+                        used[p] += amount
+                        need[path[-1]] -= amount
+                    if used[p] == level * supplies[p]:
+                        break
+                    _spent(path, steps, flow, need)
     return {k: v for k, v in flow.items() if v}
 
 
+def _layers(starts: list, need: dict, takers: dict, flow: dict) -> dict | None:
+    """The residual arcs that lead one layer on, by breadth-first search from the patterns with
+    words left to the nearest sources in need: {("p", pattern): [sources], ("s", source): [patterns]}."""
+    steps: dict = {}
+    patterns, seen_p, seen_s = starts, set(starts), set()
+    while patterns:
+        layer: dict = {}
+        for p in patterns:
+            steps["p", p] = [s for s in p if s in need and s not in seen_s]
+            layer.update(dict.fromkeys(steps["p", p]))
+        seen_s.update(layer)
+        if any(need[s] > 0 for s in layer):
+            for s in layer:
+                steps["s", s] = []
+            return steps
+        patterns = []
+        for s in layer:
+            steps["s", s] = [p for p in sorted(takers[s], key=str) if p not in seen_p]
+            patterns += steps["s", s]
+        patterns = list(dict.fromkeys(patterns))
+        seen_p.update(patterns)
+    return None
+
+
+def _path(start, steps: dict, need: dict) -> list | None:
+    """[pattern, source, pattern, ..., source in need] along the arcs left; arcs that lead nowhere go."""
+    path = [("p", start)]
+    while path:
+        kind, node = path[-1]
+        if kind == "s" and not steps[kind, node] and need[node] > 0:
+            return [n for _, n in path]
+        if steps[kind, node]:
+            path.append(("s" if kind == "p" else "p", steps[kind, node][-1]))
+            continue
+        path.pop()
+        if path:
+            steps[path[-1]].pop()
+    return None
+
+
+def _spent(path: list, steps: dict, flow: dict, need: dict) -> None:
+    """Takes the arcs of a path that can carry no more out of the layers."""
+    for i in range(1, len(path) - 1, 2):
+        if not flow[path[i + 1], path[i]]:
+            steps["s", path[i]].pop()
+            return
+
+
 def mix(
     df: DataFrame,
     members: str,
@@ -117,7 +147,8 @@ def mix(
     same).  size: words, a long.  order: a column that, hashed with the seed, orders the rows
     of a pattern; rows equal in it lie next to each other in an undetermined order, so results
     repeat when it is unique.  A row's size counts in each source it belongs to.  Of a
-    pattern's rows the last one is taken where more than half of it fits.
+    pattern's rows the last one is taken where more than half of it fits.  More patterns than
+    max_patterns, or more than MAX_MEMBERS sources in them, are a ValueError.
     """
     spark = df.sparkSession
     own = F.array_sort(F.array_distinct(F.coalesce(F.col(members).cast("array<string>"), F.array().cast("array<string>"))))
@@ -127,13 +158,10 @@ def mix(
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), own.alias("pattern"), F.col(size).cast("long").alias("size"), F.col(order).alias("order"), hashed.alias("hash"))
     scratch = Scratch(spark, "mix")
     sums = scratch.table(rows.groupBy("pattern").agg(F.sum("size").alias("words")), "patterns")
-    if sums.count() > max_patterns:
-        kept = sums.orderBy(F.col("words").desc(), F.concat_ws("|", "pattern")).limit(max_patterns)
-        names = F.broadcast(scratch.table(kept.select(F.col("pattern").alias("known")), "kept"))  # max_patterns rows
-        one = F.array(F.get("pattern", F.pmod(F.xxhash64("hash"), F.size("pattern")).cast("int")))
-        rows = rows.join(names, F.col("pattern").eqNullSafe(F.col("known")), "left")
-        rows = rows.withColumn("pattern", F.coalesce("known", one)).drop("known")
-    by_pattern = {tuple(r[0]): int(r[1] or 0) for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
+    patterns, memberships = sums.agg(F.count("*"), F.coalesce(F.sum(F.size("pattern")), F.lit(0))).first()
+    if patterns > max_patterns or memberships > MAX_MEMBERS:
+        raise ValueError(f"{patterns} membership patterns of {memberships} sources; coarsen the sources to {max_patterns} patterns of {MAX_MEMBERS} at most")
+    by_pattern = {tuple(r[0]): int(r[1] or 0) for r in sums.collect()}
     sizes: dict = {}
     for pattern, words in by_pattern.items():
         for s in pattern:
@@ -144,7 +172,7 @@ def mix(
     for (p, _), words in flow.items():
         taken[p] += words
     plan = [(list(p), taken[p] // w if w else 0, taken[p] % w if w else 0) for p, w in by_pattern.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "planned array<string>, whole int, rest long"))  # max_patterns rows and a row a source
+    plan_df = F.broadcast(spark.createDataFrame(plan, "planned array<string>, whole int, rest long"))  # a row for each pattern, counted above
     rows = rows.join(plan_df, F.col("pattern").eqNullSafe(F.col("planned"))).drop("planned")
     rows = rows.withColumn("class", F.substring("hash", 1, CLASS_DIGITS))
     classes = rows.groupBy("pattern", "class").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -183,7 +211,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "rows"
     )
     mixed, sizes, goal = mix(base.withColumn("members", F.array("source")), "members", "size", "doc_id", **options)
-    known = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "_s string, source_size long, target double")  # a row for each source
+    known = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "_s string, source_size long, target double")  # a row for each source, MAX_MEMBERS at most
     out = mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import decontaminate as D
 from memloom.llm import mixing as M
+from memloom.llm import queries as Q
 
 
 def least_distance(pattern, text):
@@ -56,6 +58,42 @@ def test_documents(spark, docs, none):
     assert D.contaminated(none, bench).count() == 0 and D.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_query_against_brute_force(spark):
+    """All pairs of items and texts by a plain edit distance, with the items in one automaton or in several."""
+    rng = random.Random(9)
+    make = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    items = [(n, make(rng.randrange(5, 16))) for n in range(12)] + [(20, "short one"), (21, None)]
+    texts = []
+    for i in range(60):
+        n = rng.randrange(12)
+        s = list(items[n][1])
+        for _ in range(rng.randrange(0, 8)):
+            s[rng.randrange(len(s))] = rng.choice("abcxyz")
+        texts.append((i, f"{make(10)}. {''.join(s)}, {make(10)}" + (" Short; ONE" if i % 7 == 0 else "")))
+    texts += [(97, None), (98, ""), (5, texts[5][1])]
+    want = set()
+    for n, item in items:
+        form = D.plain(item or "")
+        for i, text in texts:
+            if form and (d := least_distance(form, D.plain(text or ""))) <= D.budget(len(form)):
+                want.add((i, n, d))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(want) > 20
+    blocks = list(D.passes(bench, "item_id", "text", chars=200))
+    assert len(blocks) > 3 and [i for b in blocks for i in b] == sorted(items)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "_text": [t for _, t in texts]})]
+    several = next(D._matches(blocks, D.RATE, "found")(iter(batches))).to_pylist()
+    assert {(r["doc_id"], m["item_id"], m["distance"]) for r in several for m in r["found"]} == want
+
+
+def test_too_large_a_benchmark_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEM_CHARS", 10)
+    df = spark.createDataFrame([(1, "some words, more than ten characters")], "item_id long, text string")
+    with pytest.raises(ValueError, match="match them in parts"):
+        D.contaminated(df.withColumnRenamed("item_id", "doc_id"), df)
+
+
 def test_targets():
     assert M.targets({"a": 100, "b": 100, "c": 100}) == {"a": 187.5, "b": 75.0, "c": 37.5}
     got = M.targets({"a": 10, "b": 100, None: 100})
@@ -116,9 +154,30 @@ def test_overlapping_sources(spark):
     rng = random.Random(8)
     rows = [(i, sorted(rng.sample("abc", rng.randrange(1, 4))), rng.randrange(1, 20)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, members array<string>, words long")
-    for most in (M.MAX_PATTERNS, 2):
-        mixed, sizes, goal = M.mix(df, "members", "words", "id", max_patterns=most)
-        got = mixed.collect()
-        assert len(got) == 400 and mixed.columns == ["id", "members", "words", "times"]
-        taken = sum(r["words"] * r["times"] for r in got)
-        assert abs(taken - min(sum(goal.values()), 3 * sum(r[2] for r in rows))) <= 7 * 20
+    mixed, sizes, goal = M.mix(df, "members", "words", "id")
+    got = mixed.collect()
+    assert len(got) == 400 and mixed.columns == ["id", "members", "words", "times"]
+    taken = sum(r["words"] * r["times"] for r in got)
+    assert abs(taken - min(sum(goal.values()), 3 * sum(r[2] for r in rows))) <= 7 * 20
+    with pytest.raises(ValueError, match="7 membership patterns"):
+        M.mix(df, "members", "words", "id", max_patterns=2)
+
+
+def test_targets_are_met(spark):
+    """Of the query's rows, every source's taken words are within half of its largest document of its target."""
+    out = Q.op6_mix_sources(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in out.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("largest"), F.sum("size").alias("size"), F.first("source_size").alias("source_size")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["largest"] / 2 + 1 and r["size"] == r["source_size"]
+
+
+def test_many_patterns():
+    """Thousands of patterns: what can be served is, and words flow to their own sources only."""
+    rng = random.Random(4)
+    names = [f"s{i}" for i in range(30)]
+    supplies = {tuple(sorted(rng.sample(names, rng.randrange(1, 5)))): rng.randrange(1, 1000) for _ in range(5000)}
+    sizes = {s: sum(w for p, w in supplies.items() if s in p) for s in names}
+    quotas = {s: int(t) for s, t in M.targets(sizes).items()}
+    flow = M.min_cost_flow(supplies, quotas)
+    used = {p: sum(flow.get((p, s), 0) for s in p) for p in supplies}
+    assert all(s in p and v > 0 for (p, s), v in flow.items()) and all(used[p] <= 3 * w for p, w in supplies.items())
+    assert sum(used.values()) == sum(quotas.values()) and all(sum(v for (_, t), v in flow.items() if t == s) == q for s, q in quotas.items())
