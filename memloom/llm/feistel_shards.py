@@ -115,7 +115,7 @@ def shard(df: DataFrame, shards: int = 16, key: int = 20_240_601, id_col: str =
     bytes (size 1, CRC 0).  The law is ``rows``: shard counts differ by one at most, slots are
     gapless from 0.  grown_shard is null, as the places depend on the number of rows.  Row
     numbers follow (doc_id, size, crc), null identifiers first; repeated rows each get a
-    place.  An empty table gives an empty result; other columns of df are ignored.
+    place.  Texts of any length count whole.  An empty table gives an empty result; other columns of df are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be positive")

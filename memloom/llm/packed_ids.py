@@ -14,6 +14,7 @@ so an id's place is found from its number alone; numpy unpacks whole blocks.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -150,9 +151,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+# The normaliser and pre-tokenizer of tokenizer files whose chunks are looked up.
+LOOKED_UP = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordIds(dict):
-    """Ids of whole texts by the tokenizer, which drops white space, so that chunks between
-    ASCII white space have the same ids alone as in the text; chunks seen before are looked up.
+    """Ids of whole texts by the tokenizer.  Where its file lower-cases and drops white space
+    (LOOKED_UP), chunks between ASCII white space have the same ids alone as in the text, and
+    chunks seen before are looked up; with any other file each text goes to the tokenizer whole.
 
     The mapping itself is the young generation of chunks; when it is full it becomes the old
     one, and what is asked for again moves back, so that frequent chunks stay.  A run of
@@ -167,6 +182,9 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        self.looks_up = (form["normalizer"], form["pre_tokenizer"]) == LOOKED_UP and form["post_processor"] is None and form["model"]["type"] == "BPE"
         self.old: dict[str, bytes] = {}
         self.remembered = remembered
         self.letters = _byte_letters()
@@ -209,7 +227,7 @@ class WordIds(dict):
             self.clear()
         known, end, out = self.__getitem__, struct.pack("<I", END_ID), []
         for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
+            if not self.looks_up or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
                 data = self.whole(text)
             else:
                 data = b"".join(map(known, text.split()))
@@ -297,7 +315,9 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
 def pack_and_read(df: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Writes all texts of df as packed ids in the shared folder and reads the files' documents back.
 
-    An empty table gives no files and an empty result; other columns of df are ignored.
+    An empty table gives no files and an empty result; other columns of df are ignored.  Texts of
+    any length are encoded whole; null and empty texts have the end id alone; of rows that
+    repeat an identifier each has its ids.
     """
     folder = f"{Scratch(df.sparkSession, 'ids').root}/files"
     return read_digests(write_packed(df, tokenizer, folder, **options), folder)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from memloom.llm import packed_ids
 
@@ -68,3 +68,25 @@ def test_query(spark, docs, texts, none):
         at += len(ids)
     assert sorted((tuple(r) for r in rows), key=lambda r: r[1]) == want
     assert packed_ids.pack_and_read(none, PATH).count() == 0
+
+
+def test_another_tokenizer_gets_whole_texts(spark, tmp_path):
+    """A file that keeps case and white space: nothing is looked up by chunk, and the ids are its own."""
+    tokenizer = Tokenizer(models.BPE.from_file(*_letters(tmp_path)))
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([])
+    path = str(tmp_path / "other.json")
+    tokenizer.save(path)
+    texts = ["ab ba", "Ab  a", "", None, "b a\tb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in packed_ids.pack_and_read(df, path).collect()}
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, packed_ids.END_ID]
+        assert (rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert packed_ids.WordIds(PATH).looks_up and not packed_ids.WordIds(path).looks_up
+
+
+def _letters(folder):
+    """A vocabulary of letters and some merges, as files."""
+    (folder / "vocab.json").write_text('{"a": 0, "b": 1, "A": 2, " ": 3, "\\t": 4, "ab": 5, " a": 6}')
+    (folder / "merges.txt").write_text("#version: 0.2\na b\n")
+    return str(folder / "vocab.json"), str(folder / "merges.txt")
