@@ -27,6 +27,7 @@ class MemoryGraph:
         self.related = spark.createDataFrame([], "src long, dst long, score double")
         self.clusters, self.centroids, self.links = graph_json.empty_tables(spark)
         self.edges: DataFrame | None = None
+        self.by_symbol: DataFrame | None = None
         self.eigenvalues: Sequence[float] = ()
         self.config = BuildConfig()
         self.metadata: dict = {}
@@ -53,6 +54,7 @@ class MemoryGraph:
 
     def resolve_structural_links(self) -> None:
         self.structural = N.structural_links(self.notes)
+        self.by_symbol = self.notes  # the links of these notes follow from their symbols
 
     # build
 
@@ -65,7 +67,8 @@ class MemoryGraph:
             return
         c = self.config
         tell("similarity", 0.0)
-        self.edges = settled(graph.fused_edges(self.notes, self.structural, c))
+        follows = self.by_symbol is self.notes
+        self.edges = settled(graph.symbol_edges(self.notes, c) if follows else graph.fused_edges(self.notes, self.structural, c))
         tell("spectrum", 0.4)
         nodes = self.notes.select("note_id")
         self.eigenvalues, coords = spectral.spectral_decomposition(nodes, self.edges, min(c.spectral_dims, n))

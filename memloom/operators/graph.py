@@ -22,19 +22,27 @@ STRIPE = 512
 API_WEIGHT = 1.15
 
 
-def _block_product(threshold: float, cosine: bool):
+def _block_product(threshold: float, shift: tuple[float, float] | None = None):
+    """Pairs of two blocks whose cosine is at least the threshold; with a shift (factor, summand) that
+    of pairs with the same symbol is moved by it first."""
+
     def run(rows: pa.Table) -> pa.Table:
         side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
         flat = rows.column("vector").combine_chunks()
         x = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(ids), -1)
-        if cosine:
-            norms = np.sqrt((x * x).sum(1, keepdims=True))
-            x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+        norms = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+        if shift:
+            symbol, known = rows.column("symbol").fill_null(0).to_numpy(), rows.column("symbol").is_valid().to_numpy()
         left, right = (side <= 0), (side >= 0)
         y, left_ids, right_ids = x[left], ids[left], ids[right]
         other, parts = x[right].T, []
         for at in range(0, len(y), STRIPE):  # so that no product of two whole blocks is in memory
             w = np.nan_to_num(y[at : at + STRIPE] @ other)
+            if shift:
+                mine = slice(at, at + STRIPE)
+                same = (symbol[left][mine, None] == symbol[right][None, :]) & known[left][mine, None] & known[right][None, :]
+                w = np.where(same, w * shift[0] + shift[1], w)
             i, j = np.nonzero(w >= threshold)
             a, b = left_ids[at + i], right_ids[j]
             # between two blocks all pairs count, within one each once
@@ -46,24 +54,26 @@ def _block_product(threshold: float, cosine: bool):
     return run
 
 
-def similarity_join(df: DataFrame, id_col: str, vector_col: str, threshold: float, block: int = BLOCK) -> DataFrame:
+def similarity_join(df: DataFrame, id_col: str, vector_col: str, threshold: float, block: int = BLOCK, symbol_col: str | None = None, shift: tuple[float, float] | None = None) -> DataFrame:
     """All pairs i < j whose cosine is at least the threshold (0 where a norm is 0), exactly.
 
     The all-pairs product is the operator's definition; it is computed block by block, each two
     blocks in one task, and only pairs over the threshold leave a task.  A vector is sent to as
     many tasks as there are blocks: blocks are as large as memory allows, but there are enough
-    for all cores.
+    for all cores.  With a symbol column and a shift (factor, summand) the cosine of pairs with the
+    same symbol is moved by it before the threshold.
     """
     n, dims = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
     most = max(1, min(block, BLOCK_NUMBERS // max(1, dims or 1)))
     blocks = max(1, math.ceil(n / most), min(math.ceil(n / 256), math.ceil(math.sqrt(2 * cores))))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vector is not null")
+    symbol = F.when(F.col(symbol_col).isNotNull(), F.xxhash64(symbol_col)) if symbol_col else F.lit(None).cast("long")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), symbol.alias("symbol")).where("vector is not null")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    tasks = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "id", "vector")
-    return tasks.groupBy("p", "q").applyInArrow(_block_product(threshold, True), "i long, j long, w double")
+    tasks = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "id", "vector", "symbol")
+    return tasks.groupBy("p", "q").applyInArrow(_block_product(threshold, shift), "i long, j long, w double")
 
 
 def pair_cosines(pairs: DataFrame, df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -95,6 +105,14 @@ def fused_edges(notes: DataFrame, structural: DataFrame, config: BuildConfig) ->
     return thinned(plain.unionByName(moved), t)
 
 
+def symbol_edges(notes: DataFrame, config: BuildConfig) -> DataFrame:
+    """The fused edges of notes whose structural links are those of their symbols, each in both
+    directions: the closed form is applied where two blocks meet, so a symbol of any number of
+    notes makes no rows of its own."""
+    shift = (config.alpha**2, config.beta * (1 - config.alpha**2) / (1 - config.alpha)) if config.alpha != 1.0 else (1.0, 2 * config.beta)
+    return thinned(similarity_join(notes, "note_id", "embedding", config.adjacency_threshold, symbol_col="symbol_id", shift=shift), config.adjacency_threshold)
+
+
 def thinned(edges: DataFrame, threshold: float) -> DataFrame:
     """Edges without diagonal and without weights below the threshold, or zero."""
     return edges.where((F.col("i") != F.col("j")) & (F.col("w") >= threshold) & (F.col("w") != 0))

@@ -45,6 +45,11 @@ def b04(spark, d):
     return _edges(spark, d).select("i", "j", F.round("w", 6).alias("w"))
 
 
+@query("b04_edges_by_symbol", f"with {_FUSED} select i, j, {_r('w')} as w from edges")
+def b04_by_symbol(spark, d):
+    return graph.symbol_edges(fx.notes(spark, d), _CFG).select("i", "j", F.round("w", 6).alias("w"))
+
+
 @query("b05_sparsify", f"with {fx.SIM_SQL} select i, j, {_r('w')} as w from sim where i <> j and w >= 0.25 and w <> 0")
 def b05(spark, d):
     return graph.thinned(fx.sim(spark, d), 0.25).select("i", "j", F.round("w", 6).alias("w"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from memloom.api import MemoryGraph
 from memloom.config import BuildConfig
 from memloom.operators import graph, spectral, views
+from memloom.operators.notes import structural_links
 
 TEXTS = ["the scheduler drops jobs on restart", "colours of the chart legend", "move settings into one file", "spelling in the handbook", "cover the date parser with cases", "read the index once per request", "remove the old import script", "count retries in the worker log"]
 
@@ -48,6 +49,18 @@ def test_fusion_applies_for_each_direction(spark):
     assert spark.range(1).select(graph.fused(F.lit(0.5), F.lit(3), 1.0, 0.1)).first()[0] == pytest.approx(0.8)
 
 
+@pytest.mark.parametrize("alpha", [0.8, 1.0])
+def test_edges_by_symbol(spark, alpha):
+    """The closed form within blocks gives the edges that the pairs of a symbol give, also with null symbols."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], rng.choice(["a", "b", "c"]) if i % 4 else None) for i in range(40)]
+    notes = spark.createDataFrame(rows, "note_id long, embedding array<double>, symbol_id string")
+    config = BuildConfig(alpha=alpha)
+    want = graph.fused_edges(notes, structural_links(notes), config).collect()
+    got = {(r["i"], r["j"]): r["w"] for r in graph.symbol_edges(notes, config).collect()}
+    assert got.keys() == {(r["i"], r["j"]) for r in want} and all(abs(got[r["i"], r["j"]] - r["w"]) < 1e-9 for r in want)
+
+
 def blocks(spark, size=12, bridge=0.05):
     rows = [(b * size + i, b * size + j, 0.9) for b in range(3) for i in range(size) for j in range(i + 1, size)]
     nodes = spark.range(3 * size).select(F.col("id").alias("note_id"))
