@@ -56,8 +56,10 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Removes a table of this scratch that no later step reads."""
+        """Removes a table of this scratch that no later step reads; the files of finished shuffles
+        go as well, as Spark keeps them only as long as the driver's memory has their plans."""
         self._fs.delete(self._path(df._memloom_path), True)
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

