@@ -99,7 +99,7 @@ def best_chain(points, weight, cost):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=30))
 def test_chaining(points):
-    chains = chained_passages.chains(points, max_shift=100)
+    chains = chained_passages.chains(points, cost=0.08, max_shift=100)
     assert sorted(p for c in chains for p in c) == sorted(set(points))
     assert all(x[0] < y[0] and x[1] < y[1] for c in chains for x, y in zip(c, c[1:]))
     first = max(5 * len(c) - 0.08 * sum(y[0] - x[0] + y[1] - x[1] for x, y in zip(c, c[1:])) for c in chains)
@@ -119,8 +119,47 @@ def test_distance(a, b):
 
 
 @given(st.lists(st.integers(0, 4), max_size=30))
-def test_ranks(values):
-    assert chained_passages.ranks(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
+def test_seeds(values):
+    words = np.array(values, np.uint64)
+    want = [values[i : i + 5].index(min(values[i : i + 5])) == 2 for i in range(len(values) - 4)]
+    assert chained_passages.seeds_of(words, 5).tolist() == want
+
+
+def test_passages_whose_hub_is_another(spark):
+    """Parts of a passage stand in earlier documents, or the passage changed too much, but two others have it whole."""
+    rng = np.random.default_rng(5)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    passage, second = own(60), own(60)
+    changed = [w if rng.random() > 0.27 else own(1)[0] for w in second]
+    texts = {0: passage[:42], 1: passage[20:], 5: passage, 6: passage, 10: changed, 11: second, 12: second, 13: own(60)}
+    rows = [(i, " ".join([*own(30), *t, *own(30)])) for i, t in texts.items()]
+    got = chained_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got if r["end"] - r["start"] >= 58} >= {(6, 5), (12, 11)}
+    assert not any(13 in (r["doc_id"], r["other_id"]) for r in got)
+
+
+def test_recall_of_edited_passages(spark):
+    """Of 60-word passages with 10 to 19 % of the words replaced, left out or put in, over nine tenths are found."""
+    rng = np.random.default_rng(6)
+    own = lambda n: [f"w{x}" for x in rng.zipf(1.3, size=n) % 20_000]
+    rows, planted = [], []
+    for rate in (0.1, 0.15, 0.19):
+        for _ in range(120):
+            a = [f"p{x}" for x in rng.integers(20_000, size=60)]
+            b = list(a)
+            for at in sorted(rng.choice(np.arange(1, 59), round(60 * rate), replace=False), reverse=True):
+                kind = rng.random()
+                b[at : at + 1] = [] if kind < 0.2 else [b[at], "in"] if kind < 0.4 else own(1)
+            planted.append((rate, len(rows)))
+            rows += [(len(rows), " ".join([*own(40), *a, *own(40)])), (len(rows) + 1, " ".join([*own(40), *b, *own(40)]))]
+    got = chained_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["other_id"], r["doc_id"]) for r in got}
+    for rate in (0.1, 0.15, 0.19):
+        ids = [i for r, i in planted if r == rate]
+        share = sum((i, i + 1) in found for i in ids) / len(ids)
+        print(rate, share)
+        assert share >= 0.9, rate
+    assert len(found) <= len(planted)
 
 
 def test_passage_of_a_repeated_phrase(spark):
