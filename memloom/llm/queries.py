@@ -13,8 +13,11 @@ from memloom.llm import (
     fuzzy_lines,
     jaccard_join,
     langid_crf,
+    merkle,
     mixing,
+    notices,
     packed_ids,
+    runs,
     surrogates,
 )
 from memloom.llm.shared import table
@@ -70,10 +73,25 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_license_notices(spark, sf_dir):
+    """License notices, as they are or with errors, in all documents."""
+    return notices.license_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """The Merkle tree of all documents by language, with a proof for each, checked against tampered rows."""
+    return merkle.merkle_report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in all documents, and what is left without repetitions."""
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """The places in shards of what the corpus pipeline keeps of all documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op5_surrogates, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup, pipeline)}
-ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_shards, op3_packed_ids, op4_decontaminate, op5_surrogates, op6_mix_sources, op7_repeated_passages, op8_jaccard_join, op9_fuzzy_lines, op10_exact_dedup, op11_license_notices, op12_merkle_manifest, op13_periodic_runs, pipeline)}
+ORACLES = {"op2_shards": feistel_shards.sql(16), "op6_mix_sources": mixing.sql(), "op8_jaccard_join": jaccard_join.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
