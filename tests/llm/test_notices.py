@@ -51,7 +51,7 @@ def test_finder_agrees_with_trying_every_place():
     known = notices.notices()
     finder = notices.Finder(known)
     found_some = 0
-    for _ in range(400):
+    for _ in range(60):
         notice = rng.choice(known)
         text = list(notice.text)
         for _ in range(rng.randrange(0, notice.edits + 2)):
@@ -63,7 +63,7 @@ def test_finder_agrees_with_trying_every_place():
         want = {i for i, n in enumerate(known) if stands(n, form)}
         assert got == want, form
         found_some += bool(want)
-    assert found_some > 200
+    assert found_some > 30
 
 
 def test_report(spark):
