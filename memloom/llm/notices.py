@@ -6,7 +6,7 @@ numbers), and of runs of other words, each of which may be off by 15 % of its ch
 (a word of seven letters by one).
 With k edits allowed in all, a notice is cut into k + 1 pieces; one of them must then occur
 unchanged, so a single Aho-Corasick pass with the pieces of all notices finds every place worth
-looking at.  There the regex library matches the notice with bounded errors and tells its span.
+looking at.  Where enough of the notice's grams stand near it as well, the regex library matches the notice with bounded errors and tells its span.
 A place where a notice stands as it is, its words whole, is an exact place.
 """
 
@@ -30,7 +30,7 @@ PHRASES = {
 }
 #: Other short notices and their labels.
 OTHERS = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    "permission is hereby granted free of charge to any person": "mit",
     "spdx license identifier mit": "mit",
     "licensed under the apache license": "apache",
     "spdx license identifier apache 2": "apache-2",
@@ -42,12 +42,16 @@ OTHERS = {
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "mozilla public license version 2": "mpl-2",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "redistribution and use in source and binary forms": "bsd",
 }
 #: Words that tell one license from another; so do all words with a digit.
 KEPT = {"mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "nc", "sa", "noncommercial", "non", "commercial", "sharealike", "spdx"}
 #: Edits allowed in a run of other words, as a share of its characters.
 RATE = 0.15
+#: Edits allowed in one run at most.
+MOST_EDITS = 4
+#: Characters of the grams that are counted before a place is matched.
+GRAM = 3
 _NO_WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOUND = "array<struct<notice: string, label: string, edits: int, exact: boolean, first_word: bigint, last_word: bigint, start: int, end: int>>"
@@ -77,10 +81,12 @@ class Notice:
                 parts[-1] = (parts[-1][0] + " " + w, fixed)
             else:
                 parts.append((w, fixed))
-        self.parts = [(t, 0 if fixed else int(len(t) * self.rate)) for t, fixed in parts]
+        self.parts = [(t, 0 if fixed else min(int(len(t) * self.rate), MOST_EDITS)) for t, fixed in parts]
         self.must = [f" {t} " for t, fixed in parts if fixed]
         self.edits = sum(k for _, k in self.parts)
         self.form = f" {self.text} "
+        self.grams = [self.form[i : i + GRAM] for i in range(len(self.form) - GRAM + 1)]
+        self.least = len(self.grams) - GRAM * self.edits  # an edit changes GRAM grams at most
         self.pattern = regex.compile("(?b) " + " ".join(f"(?:{regex.escape(t)}){{e<={k}}}" if k else regex.escape(t) for t, k in self.parts) + " ")
 
     def pieces(self) -> list[tuple[int, str]]:
@@ -137,9 +143,11 @@ class Finder:
                 while j + 1 < len(at) and at[j + 1] <= at[j] + 2 * k:
                     j += 1
                 low, high = max(done, at[i] - k, 0), min(len(form), at[j] + n + k)
-                i = j + 1
+                i, near = j + 1, form[low:high]
                 if any(form.find(m, low, high) < 0 for m in notice.must):
                     continue
+                if notice.least > 0 and sum(g in near for g in notice.grams) < notice.least:
+                    continue
                 for m in notice.pattern.finditer(form, low, high, overlapped=False):
                     edits = sum(m.fuzzy_counts)
                     done = m.end() - 1

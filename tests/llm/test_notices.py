@@ -72,7 +72,7 @@ def test_report(spark):
     texts = [
         "Released under the MIT License.", "under the mit-license UNDER THE MIT LICENSE under the mit license", "under the mit licence", "funder the mit license", "Released undr the MIT licence",
         fill(20_000) + " Apache License,\nVersion 2.0 " + fill(5), "CC BY-NC 4", "cc by nc by nc cc by nc", "cc by nd", "licensed under the apache licence version 2", "apache license version 1", "ünder the mit license é", "GNU Genral Public Licence, version 3", "", None, " .,; ", "MIT",
-        "Permission is hereby granted, free of charge, to any persons obtaining a copy of this sofware", "under the mit license " * 300,
+        "Permission is hereby granted, free of charge, too any persn obtaining a copy of this sofware", "under the mit license " * 300,
     ]
     rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[0], 2, "y"), (0, texts[0], 3, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, notices int, _text string").repartition(3)
