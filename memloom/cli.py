@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from memloom.api import MemoryGraph
 from memloom.config import DAY, BuildConfig, FilterConfig, SplitConfig, TemporalConfig, days_to_seconds, parse_temporal_mode
 from memloom.operators import analytics, retrieve, segments
+from memloom.operators.latent import LatentEmbedder, LatentModel
+from memloom.operators.settle import settled
 from memloom.sources import git, graph_json, symbols
 from memloom.tools import Tools, serve
 
@@ -23,6 +25,12 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("memloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def stored(spark: SparkSession, path: str) -> MemoryGraph:
+    """A saved graph, with the embedder that was learned with it, if any."""
+    learned, form = path + ".embedder", "parquet" if os.path.isdir(os.path.join(path, "metadata")) else "json"
+    return MemoryGraph.load(spark, path, LatentEmbedder(LatentModel.load(spark, learned)) if os.path.exists(learned) else None, form)
+
+
 def repository_turns(spark: SparkSession, repo: str, filters: FilterConfig, split: SplitConfig, max_commits: int | None = None) -> DataFrame:
     """Turns of a repository's commits, latest first; mode ``ast`` divides commits by the symbols they change."""
     commits = segments.kept_messages(git.commits(spark, repo, max_commits), filters)
@@ -42,8 +50,12 @@ def ingest(args: argparse.Namespace) -> int:
     filters = FilterConfig(args.git_filter_preset, tuple(args.git_filter_drop or ()), args.git_filter_case_insensitive)
     split = SplitConfig(args.git_commit_split_mode, args.git_commit_split_max_segments, args.git_commit_split_min_confidence)
     known = os.path.exists(args.out) and (args.append or args.incremental)
-    graph = MemoryGraph.load(spark, args.out) if known else MemoryGraph(spark)
+    graph = stored(spark, args.out) if known else MemoryGraph(spark)
     turns = repository_turns(spark, args.repo, filters, split, args.max_commits)
+    if args.embedder == "latent" and not known:
+        turns = settled(turns)
+        graph.embedder = LatentEmbedder(LatentModel.fit(turns, "content"))
+        graph.embedder.model.save(spark, args.out + ".embedder")
     if args.incremental:
         if not graph.update(turns):
             print("No new commits.")
@@ -56,12 +68,14 @@ def ingest(args: argparse.Namespace) -> int:
     config = BuildConfig().merged(graph.metadata if known else None, spectral_dims=args.num_spectral_dims, min_clusters=args.min_clusters, max_clusters=args.max_clusters)
     graph.build(config)
     target = args.out + ".new" if known else args.out
-    graph.save(target)
+    graph.save(target, args.form)
     if known:
         import shutil
 
-        shutil.rmtree(args.out)
+        # at every moment one of the two is whole
+        os.rename(args.out, args.out + ".old")
         os.rename(target, args.out)
+        shutil.rmtree(args.out + ".old")
     print(f"{graph.notes.count()} notes, labels {'present' if not graph.clusters.isEmpty() else 'absent'}")
     return 0
 
@@ -84,7 +98,7 @@ def moment(text: str) -> int:
 def note(args: argparse.Namespace) -> int:
     if not args.json:
         return tool("inspect_note", "note_id", "links_k")(args)
-    graph = MemoryGraph.load(session(), args.graph)
+    graph = stored(session(), args.graph)
     try:
         found = analytics.note(graph.notes.drop("embedding"), graph.clusters, args.note_id).toJSON().first()
     except KeyError as error:
@@ -96,15 +110,13 @@ def note(args: argparse.Namespace) -> int:
 
 
 def query(args: argparse.Namespace) -> int:
-    graph = MemoryGraph.load(session(), args.graph)
+    graph = stored(session(), args.graph)
     cfg = TemporalConfig(not args.no_temporal, args.temporal_weight, parse_temporal_mode(args.temporal_mode), int(args.temporal_half_life_days * DAY), now=args.temporal_now)
     start, end = args.time_start, args.time_end
     if args.time_window_days is not None:
         end = end or args.temporal_now or int(time.time())
         start = end - days_to_seconds(args.time_window_days)
-    if start is not None or end is not None:  # only notes of that time are candidates
-        low, high = start if start is not None else 0, end if end is not None else (1 << 62)
-        graph.notes = graph.notes.where(F.exists("sources", lambda s: s["ts"].between(low, high)))
+    graph.notes = retrieve.in_time_range(graph.notes, start, end)
     found = graph.query(args.query, top_k=args.top_k, candidate_k=args.candidate_k, min_score=args.min_score, cfg=cfg, keyword_weight=args.keyword_weight, file_filter=args.file, symbol_filter=args.symbol)
     hits = retrieve.group_by_commit(retrieve.with_rank(found))
     top = graph.long_range_links(args.links_k or 5)
@@ -122,7 +134,7 @@ def query(args: argparse.Namespace) -> int:
 
 def tool(name: str, *keys: str):
     def run(args: argparse.Namespace) -> int:
-        text = Tools(MemoryGraph.load(session(), args.graph)).call(name, {k: getattr(args, k) for k in keys if getattr(args, k) is not None})
+        text = Tools(stored(session(), args.graph)).call(name, {k: getattr(args, k) for k in keys if getattr(args, k) is not None})
         print(text)
         return int(text.startswith("Error:"))
 
@@ -130,7 +142,7 @@ def tool(name: str, *keys: str):
 
 
 def mcp(args: argparse.Namespace) -> int:
-    serve(Tools(MemoryGraph.load(session(), args.graph)))
+    serve(Tools(stored(session(), args.graph)))
     return 0
 
 
@@ -151,6 +163,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--git-commit-split-mode", default="auto")
         p.add_argument("--git-commit-split-max-segments", type=int, default=6)
         p.add_argument("--git-commit-split-min-confidence", type=float, default=0.75)
+        p.add_argument("--embedder", choices=["hash", "latent"], default="hash", help="latent: learned from the texts of the first ingestion, and kept beside the graph")
+        p.add_argument("--form", choices=["json", "parquet"], default="json")
         p.add_argument("--num-spectral-dims", type=int)
         p.add_argument("--min-clusters", type=int)
         p.add_argument("--max-clusters", type=int)

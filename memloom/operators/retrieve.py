@@ -154,7 +154,7 @@ def group_by_commit(results: DataFrame) -> DataFrame:
     keyed = results.withColumn("_key", key)
     hit = F.struct("rank", "note_id", "turn_id", "final_score")
     grouped = keyed.groupBy("_key").agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.first("commit_id").alias("commit_id"))
-    out = grouped.select("commit_id", F.get("hits", F.lit(0)).alias("first"), F.slice("hits", 2, 1_000_000).alias("contextual_hits"))
+    out = grouped.select("commit_id", F.get("hits", F.lit(0)).alias("first"), F.slice("hits", F.lit(2), F.size("hits")).alias("contextual_hits"))
     rows = out.select("commit_id", "first.*", "contextual_hits")
     position = F.row_number().over(Window.orderBy(F.col("commit_id").isNull(), "rank"))
     return rows.withColumn("position", position)

@@ -92,12 +92,12 @@ def header_segments(message: Column, most: int) -> Column:
 
 
 def bullet_segments(message: Column, most: int) -> Column:
-    return _two(_by_marks(X.lines(message), X.is_bullet, lambda s: X.strip(F.substring(s, 3, 1_000_000)), most))
+    return _two(_by_marks(X.lines(message), X.is_bullet, lambda s: X.strip(F.substr(s, F.lit(3))), most))
 
 
 def _first_and_rest(text: Column) -> Column:
     kept = F.filter(F.transform(X.lines(text), X.strip), lambda s: s != "")
-    return X.let(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("header"), F.slice(k, 2, 1_000_000).alias("details")))
+    return X.let(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("header"), F.slice(k, F.lit(2), F.size(k)).alias("details")))
 
 
 def merged_paragraphs(message: Column) -> Column:

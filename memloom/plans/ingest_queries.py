@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memloom.config import FilterConfig, SplitConfig
 from memloom.functions import text as X
 from memloom.functions import vec
-from memloom.operators import embed, notes, segments
+from memloom.operators import embed, latent, notes, segments
 from memloom.plans.registry import query
 from memloom.sources import fixtures as fx
 
@@ -212,6 +212,32 @@ def t28(spark, d):
     return e.select("event_id", F.inline(X.parse_links(text)))
 
 
+@query("e01_term_weights", r"with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as term from documents), n as (select count(*) as n from documents) select term, count(*) as texts, round(ln((1.0 + n) / (1.0 + count(*))) + 1, 6) as idf from w, n where term <> '' group by term, n having count(*) >= 2 order by texts desc, term limit 30000")
+def e01_terms(spark, d):
+    """The terms of a latent model over all documents."""
+    return latent.vocabulary(fx.read(spark, d, "documents"), "text").select("term", "texts", F.round("idf", 6).alias("idf"))
+
+
+@query("e01_latent_embedding")
+def e01(spark, d):
+    """Vectors of all documents by a model learned from them."""
+    docs = fx.read(spark, d, "documents").select("doc_id", "text")
+    return latent.LatentEmbedder(latent.LatentModel.fit(docs, "text", dims=16)).embed(docs, "text", "embedding").drop("text")
+
+
+@query("e01_singular_vectors", "select i::int as idx, true as solved from range(4) t(i)")
+def e01_vectors(spark, d):
+    """Whether all documents, folded in, have the model's singular values as the lengths of their coordinates, and coordinates at right angles."""
+    docs = fx.read(spark, d, "documents").select("doc_id", "text")
+    model = latent.LatentModel.fit(docs, "text", dims=4, tolerance=1e-7)
+    y = latent.LatentEmbedder(model, unit=False).embed(docs, "text", "y").select(F.col("y").cast("array<double>").alias("y"))
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    sums = y.agg(*[F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    square, most = [float(v) ** 2 for v in model.values], float(model.values[0]) ** 2
+    close = lambda i: F.greatest(*[F.abs(F.col(f"s{i}_{j}") - (square[i] if i == j else 0.0)) for j in range(4)]) < 1e-5 * most
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), close(i).alias("solved")) for i in range(4)])).alias("r")).select("r.*")
+
+
 @query("e02_hash_embedding")
 def e02(spark, d):
     return embed.HashEmbedder().embed(fx.read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", "embedding")

@@ -81,6 +81,24 @@ def test_note_as_json_and_time_ranges(spark, tmp_path, capsys):
     assert {r["commit_id"] for r in json.loads(capsys.readouterr().out)["results"]} <= {"c1"}
 
 
+def test_learned_embedder_and_tables_from_the_command_line(spark, repo, tmp_path, capsys):
+    out = str(tmp_path / "graph")
+    assert cli.main(["ingest", "--repo", repo, "--out", out, "--embedder", "latent", "--form", "parquet"]) == 0
+    assert cli.main(["update", "--repo", repo, "--out", out, "--form", "parquet"]) == 0 and "No new commits" in capsys.readouterr().out
+    assert cli.main(["query", "--graph", out, "--query", "fix", "--json", "--min-score", "-1"]) == 0
+    assert json.loads(capsys.readouterr().out)["results"]
+
+
+def test_time_range_on_the_command_line_keeps_notes_that_reach_over_it(spark, tmp_path, capsys):
+    turns = spark.createDataFrame([(i + 1, "a", f"text {i}", f"c{i}", 1_700_000_000 + i * 100) for i in range(3)], "turn_id long, speaker string, content string, commit_id string, timestamp long")
+    g = MemoryGraph(spark)
+    g.ingest_turns(turns)
+    g.notes = g.notes.withColumn("sources", F.when(F.col("note_id") == 0, F.array_append("sources", F.struct(F.lit(9).cast("long").alias("turn_id"), F.lit("c0").alias("commit_id"), F.lit(1_700_009_000).cast("long").alias("ts")))).otherwise(F.col("sources")))
+    g.save(str(tmp_path / "g"))
+    assert cli.main(["query", "--graph", str(tmp_path / "g"), "--query", "text", "--min-score", "-1", "--json", "--time-start", "1700005000", "--time-end", "1700006000"]) == 0
+    assert [r["commit_id"] for r in json.loads(capsys.readouterr().out)["results"]] == ["c0"]
+
+
 def test_hash_embedder_by_brute_force(spark):
     """The value of a dimension is the hash of text and dimension, chained, over the range of 64-bit numbers."""
     df = HashEmbedder(5).embed(spark.createDataFrame([("some text",), ("",)], "t string"), "t", "v")
