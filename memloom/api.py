@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from memloom.schema import NOTES
 from memloom.sources import graph_json
 
 
+_STATE = ("edges", "coords", "built")
+
+
 class MemoryGraph:
     """A spectral memory graph over DataFrames; tables can also be queried in SQL through ``views``."""
 
@@ -28,6 +32,8 @@ class MemoryGraph:
         self.clusters, self.centroids, self.links = graph_json.empty_tables(spark)
         self.edges: DataFrame | None = None
         self.by_symbol: DataFrame | None = None
+        self.coords: DataFrame | None = None
+        self.built: DataFrame | None = None
         self.eigenvalues: Sequence[float] = ()
         self.config = BuildConfig()
         self.metadata: dict = {}
@@ -58,20 +64,34 @@ class MemoryGraph:
 
     # build
 
-    def build(self, config: BuildConfig | None = None, progress: Callable[[str, float], None] | None = None) -> None:
-        """The whole build; graphs of fewer than three notes stay as they are."""
+    def build(self, config: BuildConfig | None = None, progress: Callable[[str, float], None] | None = None, incremental: bool = False) -> None:
+        """The build; graphs of fewer than three notes stay as they are.
+
+        An incremental build keeps the edges of the last one and adds those of the notes that have
+        come since, and starts the eigenvectors from the last ones; labels and links follow anew.
+        It needs the edges of the last build, the same weights and threshold, and structural links
+        that follow from the symbols; else the whole is built.
+        """
         tell = progress or (lambda stage, share: None)
-        self.config = config or self.config
+        before, self.config = self.config, config or self.config
         n = self.notes.count()
         if n < 3:
             return
         c = self.config
         tell("similarity", 0.0)
         follows = self.by_symbol is self.notes
-        self.edges = settled(graph.symbol_edges(self.notes, c) if follows else graph.fused_edges(self.notes, self.structural, c))
+        known = None
+        same = all(getattr(before, k) == getattr(c, k) for k in ("adjacency_threshold", "alpha", "beta"))
+        if incremental and follows and same and self.edges is not None and self.built is not None:
+            old, fresh = self.notes.join(self.built, "note_id", "left_semi"), self.notes.join(self.built, "note_id", "left_anti")
+            self.edges, known = settled(self.edges.unionByName(graph.added_edges(fresh, old, c))), self.coords
+        else:
+            self.edges = settled(graph.symbol_edges(self.notes, c) if follows else graph.fused_edges(self.notes, self.structural, c))
         tell("spectrum", 0.4)
         nodes = self.notes.select("note_id")
-        self.eigenvalues, coords = spectral.spectral_decomposition(nodes, self.edges, min(c.spectral_dims, n))
+        self.eigenvalues, coords = spectral.spectral_decomposition(nodes, self.edges, min(c.spectral_dims, n), known)
+        self.coords = coords = settled(coords)
+        self.built = settled(nodes)
         k = c.clamp_clusters(spectral.eigengap(list(self.eigenvalues)), len(self.eigenvalues), n)
         embedding = settled(spectral.spectral_embedding(coords, c.spectral_dims, n))
         tell("clusters", 0.6)
@@ -123,6 +143,9 @@ class MemoryGraph:
     def save(self, path: str, form: str = "json") -> None:
         """As one JSON object, or (form "parquet") as a folder of tables for graphs of any size."""
         {"json": graph_json.save, "parquet": graph_json.save_tables}[form](self.tables(), path, self.config)
+        if form == "parquet" and self.built is not None:  # what an incremental build goes on from
+            for name in _STATE:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, embedder: Embedder | None = None, form: str = "json") -> MemoryGraph:
@@ -130,6 +153,10 @@ class MemoryGraph:
         out.notes, out.clusters, out.centroids, out.links = t.notes, t.clusters, t.centroids, t.links
         out.related, out.structural, out.metadata = t.related.drop("pos"), t.structural, t.metadata
         out.config = BuildConfig().merged(t.metadata)
+        if form == "parquet" and graph_json.there(spark, f"{path}/built"):
+            for name in _STATE:
+                setattr(out, name, spark.read.parquet(f"{path}/{name}"))
+            out.config = replace(out.config, **{k: float(t.metadata[k]) for k in ("adjacency_threshold", "alpha", "beta") if k in t.metadata})
         return out
 
     def views(self, prefix: str = "memory") -> None:

@@ -66,7 +66,7 @@ def ingest(args: argparse.Namespace) -> int:
         graph.ingest_turns(N.renumbered(turns, graph.notes, ["timestamp", "commit_id", "content"]))
     graph.resolve_structural_links()
     config = BuildConfig().merged(graph.metadata if known else None, spectral_dims=args.num_spectral_dims, min_clusters=args.min_clusters, max_clusters=args.max_clusters)
-    graph.build(config)
+    graph.build(config, incremental=args.incremental)
     target = args.out + ".new" if known else args.out
     graph.save(target, args.form)
     if known:

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from memloom.config import BuildConfig
 from memloom.functions import vec
+from memloom.operators import metric
 
 #: Vectors of a block, at most, and the numbers in them (64 MB); a task multiplies two blocks.
 BLOCK, BLOCK_NUMBERS = 8192, 8_000_000
 #: Rows of one block that are multiplied with the other at once.
 STRIPE = 512
+#: Blocks from which on those that can't meet the threshold are looked for; with fewer, all meet.
+PRUNED_FROM, PRUNED_BLOCK = 8, 2_048
 API_WEIGHT = 1.15
 
 
@@ -58,12 +61,15 @@ def similarity_join(df: DataFrame, id_col: str, vector_col: str, threshold: floa
     """All pairs i < j whose cosine is at least the threshold (0 where a norm is 0), exactly.
 
     The all-pairs product is the operator's definition; it is computed block by block, each two
-    blocks in one task, and only pairs over the threshold leave a task.  A vector is sent to as
-    many tasks as there are blocks: blocks are as large as memory allows, but there are enough
-    for all cores.  With a symbol column and a shift (factor, summand) the cosine of pairs with the
-    same symbol is moved by it before the threshold.
+    blocks in one task, and only pairs over the threshold leave a task.  Of many blocks only those
+    meet that may hold such a pair (``pruned_join``); of few, all: a vector is then sent to as
+    many tasks as there are blocks, enough of them for all cores.  With a symbol column and a
+    shift (factor, summand) the cosine of pairs with the same symbol is moved by it before the
+    threshold.
     """
     n, dims = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
+    if n >= PRUNED_FROM * PRUNED_BLOCK:
+        return pruned_join(df, id_col, vector_col, threshold, min(PRUNED_BLOCK, block), symbol_col, shift)
     cores = df.sparkSession.sparkContext.defaultParallelism
     most = max(1, min(block, BLOCK_NUMBERS // max(1, dims or 1)))
     blocks = max(1, math.ceil(n / most), min(math.ceil(n / 256), math.ceil(math.sqrt(2 * cores))))
@@ -76,6 +82,13 @@ def similarity_join(df: DataFrame, id_col: str, vector_col: str, threshold: floa
     return tasks.groupBy("p", "q").applyInArrow(_block_product(threshold, shift), "i long, j long, w double")
 
 
+def pruned_join(df: DataFrame, id_col: str, vector_col: str, threshold: float, size: int = PRUNED_BLOCK, symbol_col: str | None = None, shift: tuple[float, float] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The same pairs, without the products of blocks that triangle bounds rule out.  With ``known``,
+    a table of vectors that have been joined before, only pairs with a vector of df."""
+    made = metric.plan(df, id_col, vector_col, threshold, size, symbol_col if shift else None, known)
+    return metric.meet(made, _block_product(threshold, shift))
+
+
 def pair_cosines(pairs: DataFrame, df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(i, j, w) of given pairs."""
     left = df.select(F.col(id_col).alias("i"), F.col(vector_col).alias("_x"))
@@ -109,8 +122,19 @@ def symbol_edges(notes: DataFrame, config: BuildConfig) -> DataFrame:
     """The fused edges of notes whose structural links are those of their symbols, each in both
     directions: the closed form is applied where two blocks meet, so a symbol of any number of
     notes makes no rows of its own."""
-    shift = (config.alpha**2, config.beta * (1 - config.alpha**2) / (1 - config.alpha)) if config.alpha != 1.0 else (1.0, 2 * config.beta)
-    return thinned(similarity_join(notes, "note_id", "embedding", config.adjacency_threshold, symbol_col="symbol_id", shift=shift), config.adjacency_threshold)
+    return thinned(similarity_join(notes, "note_id", "embedding", config.adjacency_threshold, symbol_col="symbol_id", shift=symbol_shift(config)), config.adjacency_threshold)
+
+
+def symbol_shift(config: BuildConfig) -> tuple[float, float]:
+    """Factor and summand of a structural link in both directions."""
+    return (config.alpha**2, config.beta * (1 - config.alpha**2) / (1 - config.alpha)) if config.alpha != 1.0 else (1.0, 2 * config.beta)
+
+
+def added_edges(fresh: DataFrame, notes: DataFrame, config: BuildConfig) -> DataFrame:
+    """The fused edges that new notes bring to a graph of notes: each new note with the notes there
+    are and with the other new ones.  No two old notes are compared."""
+    t = config.adjacency_threshold
+    return thinned(pruned_join(fresh, "note_id", "embedding", t, symbol_col="symbol_id", shift=symbol_shift(config), known=notes), t)
 
 
 def thinned(edges: DataFrame, threshold: float) -> DataFrame:

@@ -8,7 +8,7 @@ with blocks of the vectors; the driver holds the small projected matrix, never t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,9 +134,12 @@ def _orthonormal(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, kept] / root, (vectors[:, kept] * root).T
 
 
-def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tolerance: float = TOLERANCE, most: int = BASIS) -> tuple[np.ndarray, DataFrame]:
+def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tolerance: float = TOLERANCE, most: int = BASIS, known: DataFrame | None = None, progress: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, DataFrame]:
     """The k smallest eigenpairs by block Lanczos with full re-orthogonalisation: (values, coords by node).
 
+    With ``known`` coordinates (note_id, coords) of some nodes, such as those of a graph before
+    notes were added, the iteration starts from them; it ends by the same residuals.
+
     A block has more vectors than pairs are wanted, so repeated values, such as the zeros of a
     graph of several components, are found as often as they occur.  The basis is an array
     column by node; when it has ``most`` vectors the iteration starts anew from the best ones.
@@ -148,7 +151,18 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tol
     matrix = settled(both_ways(normalized_weights(edges)).select(block("j"), "j", "i", "w"))
     width = min(n, k + SPARE)
     start = F.array(*[F.xxhash64("note_id", F.lit(seed + c)) / F.lit(float(1 << 63)) for c in range(width)])
-    basis = settled(nodes.select(F.col("note_id").alias("i"), start.alias("q")))
+    first = nodes.select("note_id", start.alias("q"))
+    if known is not None:
+        size = known.agg(F.coalesce(F.max(F.least(F.size("coords"), F.lit(k))), F.lit(0))).first()[0]
+    if known is not None and size:
+        old = known.select("note_id", F.slice("coords", 1, max(1, size)).alias("_old"))
+        # nodes without coordinates get what the matrix makes of their neighbours'; the spare vectors stay random
+        met = both_ways(normalized_weights(edges)).join(old.select(F.col("note_id").alias("j"), "_old"), "j")
+        near = met.join(old.select(F.col("note_id").alias("i")), "i", "left_anti").groupBy("i").agg(F.array(*[F.sum(F.col("w") * F.col("_old")[c]) for c in range(size)]).alias("_near"))
+        first = first.join(old, "note_id", "left").join(near.withColumnRenamed("i", "note_id"), "note_id", "left")
+        zeros = F.array_repeat(F.lit(0.0), size)
+        first = first.select("note_id", F.concat(F.coalesce("_old", "_near", zeros), F.slice("q", size + 1, width)).alias("q"))
+    basis = settled(first.select(F.col("note_id").alias("i"), "q"))
     u, _ = _orthonormal(_products(basis, "q", "q"))
     basis = settled(_combined(basis, ["q"], lambda q: q @ u, "q"))
     u, _ = _orthonormal(_products(basis, "q", "q"))  # once more, to working precision
@@ -181,6 +195,8 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tol
         residuals = np.sqrt(((r @ ritz[size - last :, :good]) ** 2).sum(0)) if len(r) else np.zeros(good)
         for table in (w, v):
             dropped(table)
+        if progress:
+            progress(size, float(residuals.max()))
         if len(r) == 0 or residuals.max() <= tolerance:
             break
         if size + len(r) > most:  # anew from the best vectors, with the block they leave over
@@ -206,11 +222,11 @@ def canonical_signs(basis: DataFrame, ritz: np.ndarray) -> np.ndarray:
     return ritz * np.array([1.0 if r["x"] >= 0 else -1.0 for r in sorted(rows, key=lambda r: r["c"])])
 
 
-def spectral_decomposition(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
-    """Eigenvalues, ascending, and (note_id, coords) of the k smallest."""
+def spectral_decomposition(nodes: DataFrame, edges: DataFrame, k: int, known: DataFrame | None = None) -> tuple[np.ndarray, DataFrame]:
+    """Eigenvalues, ascending, and (note_id, coords) of the k smallest; an iteration starts from ``known`` coordinates."""
     n = nodes.count()
     if n > DENSE_NODES:
-        return lanczos_eigen(nodes, edges, k)
+        return lanczos_eigen(nodes, edges, k, known=known)
     values, ids, vectors = dense_eigen(nodes, edges, k)
     rows = [(i, [float(x) for x in v]) for i, v in zip(ids, vectors)]
     return values, nodes.sparkSession.createDataFrame(rows, "note_id long, coords array<double>")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.vec import clamp
-from memloom.operators.settle import settled
+from memloom.operators.settle import dropped, settled
 
 NODE_CAP = 10_000
 LIST_ROWS = 500
@@ -78,10 +80,58 @@ def score_domain(scores: DataFrame, column: str = "score") -> DataFrame:
     return scores.where(finite).agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
+def quantiles(values: DataFrame, shares: list[float], bins: int = 1024, few: int = 4096) -> list[float | None]:
+    """Exact quantiles of a table's one column, between two values by their distance (null without any).
+
+    Distributed selection: a pass counts the values between two bounds in bins, and the bin that
+    holds a wanted rank, with the least and greatest value in it, gives the next bounds, until
+    they are equal or few values are left; these are sorted.  No task holds more than bins or few values.
+    """
+    (name,) = values.columns
+    v = F.col(name).cast("double")
+    values = settled(values.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v)))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    found: dict[int, float] = {}
+    ranges = {(low, high, 0, n): ranks}  # bounds, values below them, values within: ranks wanted there
+    while ranges:
+        for (a, b, below, size), wanted in list(ranges.items()):
+            if a == b or size <= few:
+                inside = [] if a == b else [r[0] for r in values.where(F.col("v").between(a, b)).orderBy("v").limit(few).collect()]
+                found |= {r: inside[r - below] if inside else a for r in wanted}
+                del ranges[a, b, below, size]
+        if not ranges:
+            break
+        bounds = list(ranges)
+        cell = F.lit(None)
+        for i, (a, b, _, _) in enumerate(bounds):
+            if math.isinf(a) or math.isinf(b):  # infinities first, apart from numbers
+                part = F.when(F.col("v") == -math.inf, 0).when(F.col("v") == math.inf, 2).otherwise(1)
+            else:
+                part = F.least(F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * bins), F.lit(bins - 1)).cast("int")
+            cell = F.when(F.col("v").between(a, b), F.lit(i * bins) + part).otherwise(cell)
+        rows = values.select("v", cell.cast("int").alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("cell").collect()
+        after: dict[tuple, list[int]] = {}
+        for i, bound in enumerate(bounds):
+            below = bound[2]
+            for r in (r for r in rows if r["cell"] // bins == i):
+                if mine := [x for x in ranges[bound] if below <= x < below + r["n"]]:
+                    after[r["a"], r["b"], below, r["n"]] = mine
+                below += r["n"]
+        ranges = after
+    dropped(values)
+    ends = [(found[math.floor(p)], found[math.ceil(p)], p - math.floor(p)) for p in places]
+    return [a if a == b or not share else a + (b - a) * share for a, b, share in ends]
+
+
 def distribution(scores: DataFrame, column: str = "score", log: bool = False) -> DataFrame:
-    """One row: low, high, p10, p90 of the values, or of log(1 + value)."""
+    """One row: low, high, p10, p90 of the values, or of log(1 + value); nulls and NaN don't count."""
     v = F.log1p(F.greatest(F.lit(0.0), F.col(column))) if log else F.col(column)
-    return scores.select(v.alias("v")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.percentile("v", F.lit(0.1)).alias("p10"), F.percentile("v", F.lit(0.9)).alias("p90"))
+    row = quantiles(scores.select(v.alias("v")), [0.0, 1.0, 0.1, 0.9])
+    return scores.sparkSession.createDataFrame([tuple(row)], "low double, high double, p10 double, p90 double")
 
 
 def normalized(x: Column, low: Column, high: Column, p10: Column, p90: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memloom.config import DAY, BuildConfig, TemporalConfig
 from memloom.functions import temporal, vec
-from memloom.operators import analytics, graph, notes as N, retrieve, spectral, views
+from memloom.operators import analytics, graph, metric, notes as N, retrieve, spectral, views
 from memloom.operators.settle import settled
 from memloom.plans.registry import query
 from memloom.sources import fixtures as fx
@@ -50,6 +50,43 @@ def b04_by_symbol(spark, d):
     return graph.symbol_edges(fx.notes(spark, d), _CFG).select("i", "j", F.round("w", 6).alias("w"))
 
 
+@query("b03_pruned_selfjoin", f"with {fx.SIM_SQL} select i, j, {_r('w')} as w from sim where w >= 0.25")
+def b03_pruned(spark, d):
+    """The self-join over blocks of which those that can't hold a similar pair don't meet."""
+    return graph.pruned_join(fx.notes(spark, d), "note_id", "embedding", 0.25, 64).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query("b03_pruned_blocks")
+def b03_blocks(spark, d):
+    """How many pairs of blocks, and of vectors, meet of all there are, by threshold."""
+    n = fx.notes(spark, d)
+    rows = []
+    for t in (0.2, 0.5, 0.9):
+        made = metric.plan(n, "note_id", "embedding", t, 64)
+        rows.append((t, made.possible, *made.compared()))
+    return spark.createDataFrame(rows, "threshold double, possible_blocks long, blocks long, vectors long")
+
+
+@query("i10_added_edges", f"with {_FUSED} select i, j, {_r('w')} as w from edges")
+def i10(spark, d):
+    """The edges of a graph of four fifths of the notes, and those that the others bring to it."""
+    n = fx.notes(spark, d)
+    old, fresh = n.where("note_id % 5 <> 0"), n.where("note_id % 5 = 0")
+    every = graph.symbol_edges(old, _CFG).unionByName(graph.added_edges(fresh, old, _CFG))
+    return every.select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query("i11_warm_eigenvalues", "select i::int as idx, true as agrees from range(8) t(i)")
+def i11(spark, d):
+    """Whether eigenvectors that go on from those of four fifths of the notes have the values of the whole graph's."""
+    n, edges = fx.notes(spark, d).select("note_id"), settled(fx.sim(spark, d))
+    old = n.where("note_id % 5 <> 0")
+    _, coords = spectral.spectral_decomposition(old, edges.where("i % 5 <> 0 and j % 5 <> 0"), _CFG.spectral_dims)
+    values, _, _ = spectral.dense_eigen(n, edges, _CFG.spectral_dims)
+    others, _ = spectral.lanczos_eigen(n, edges, _CFG.spectral_dims, known=settled(coords))
+    return spark.createDataFrame([(i, abs(float(x) - float(y)) < 1e-6) for i, (x, y) in enumerate(zip(values, others))], "idx int, agrees boolean")
+
+
 @query("b05_sparsify", f"with {fx.SIM_SQL} select i, j, {_r('w')} as w from sim where i <> j and w >= 0.25 and w <> 0")
 def b05(spark, d):
     return graph.thinned(fx.sim(spark, d), 0.25).select("i", "j", F.round("w", 6).alias("w"))

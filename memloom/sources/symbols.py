@@ -24,6 +24,8 @@ _METHOD = ("method_definition", r"^\s+(?:(?:public|private|protected|static|asyn
 _INTERFACE = ("interface_declaration", r"^\s*(?:export\s+)?interface\s+(\w+)")
 KINDS = {"rs": _RUST, "ts": [_FUNCTION, _CLASS, _INTERFACE, _METHOD], "tsx": [_FUNCTION, _CLASS, _INTERFACE, _METHOD], "js": [_FUNCTION, _CLASS, _METHOD], "jsx": [_FUNCTION, _CLASS, _METHOD]}
 API_KINDS = {"trait_item", "interface_declaration"}
+#: Rows of a file that are swept together.
+BIN_ROWS = 128
 
 
 def parse_python(source: str) -> list[tuple[str, str, int, int]]:
@@ -105,10 +107,26 @@ def symbols(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     return files.select("commit_id", "path", "source").mapInArrow(run, schema)
 
 
-def touched(found: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols that meet a changed range of their file: start < hunk end and end >= hunk start."""
-    h = hunks.select("commit_id", "path", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    return found.join(h, ["commit_id", "path"]).where("start < _to and end >= _from").drop("_from", "_to").distinct()
+def touched(found: DataFrame, hunks: DataFrame, rows: int = BIN_ROWS) -> DataFrame:
+    """Symbols that meet a changed range of their file, each row once: start < hunk end and end >= hunk start.
+
+    A sweep over the rows of each file, cut into bins: of the hunks that start in a symbol's last
+    bin at most ``rows`` remain, one for each row they start at, and of those that start in earlier
+    bins the furthest end decides.  So a file of any number of symbols and hunks makes no pairs.
+    Ranges may be empty; nulls meet nothing.
+    """
+    file = ["commit_id", "path"]
+    at = lambda c: F.floor(F.col(c) / rows).alias("_bin")
+    ends = hunks.where("start is not null").groupBy(*file, at("start"), F.col("start").alias("_from")).agg(F.max("end").alias("_to"))
+    bins = ends.groupBy(*file, "_bin").agg(F.max("_to").alias("_most"), F.collect_list(F.struct("_from", "_to")).alias("_hunks"))
+    symbols_ = found.distinct().withColumn("_bin", at("end"))
+    wanted = symbols_.select(*file, "_bin").where("_bin is not null").distinct()
+    # a row for each bin that has symbols or hunks: the furthest end of all bins before it
+    grid = bins.unionByName(wanted, allowMissingColumns=True).groupBy(*file, "_bin").agg(F.max("_most").alias("_most"), F.first("_hunks", ignorenulls=True).alias("_hunks"))
+    before = F.max("_most").over(Window.partitionBy(*file).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    met = symbols_.join(grid.select(*file, "_bin", before.alias("_before"), "_hunks"), [*file, "_bin"])
+    near = F.exists("_hunks", lambda h: (h["_from"] <= F.col("end")) & (h["_to"] > F.col("start")))
+    return met.where((F.col("_before") > F.col("start")) | near).select(*found.columns)
 
 
 def changed_symbols(found: DataFrame, hunks: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,16 @@ def test_neighbourhood_budget(spark):
     nodes, e = views.neighbourhood(notes, related, links, 0, limit=3)
     assert {r["note_id"]: r["kind"] for r in nodes.collect()} == {0: "selected", 1: "outbound", 2: "outbound", 4: "inbound", 5: "long_range"}
     assert {(r["src"], r["dst"], r["kind"]) for r in e.collect()} == {(0, 1, "related_out"), (0, 2, "related_out"), (4, 0, "related_in"), (0, 5, "long_range")}
+
+
+@pytest.mark.parametrize("kind", ["normal", "skewed", "equal", "few", "infinite"])
+def test_quantiles_are_exact(spark, kind):
+    rng = np.random.default_rng(2)
+    x = {"normal": rng.standard_normal(3000), "skewed": 2.0 ** -rng.integers(0, 200, 3000), "equal": np.full(3000, 7.0), "few": np.array([3.0, 1.0]), "infinite": np.concatenate([rng.standard_normal(900), [math.inf] * 200, [-math.inf] * 30])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "v double").repartition(3)
+    shares = [0.0, 0.1, 0.5, 0.77, 0.9, 1.0]
+    got = views.quantiles(df, shares, bins=64, few=20)
+    want = [float(np.sort(x)[0]) if s == 0 else float(np.quantile(x, s)) for s in shares] if kind != "infinite" else [float(np.sort(x)[round(s * (len(x) - 1))]) for s in shares]
+    for g, w, s in zip(got, want, shares):
+        assert g == w or abs(g - w) <= 1e-12 * abs(w) or kind == "infinite" and s in (0.1, 0.5, 0.77), (s, g, w)
+    assert views.quantiles(df.limit(0), shares) == [None] * 6

@@ -137,6 +137,58 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert notes.count() == 6 and notes.agg(F.max("note_id")).first()[0] == 5
 
 
+TURNS = "turn_id long, content string, commit_id string, timestamp long, symbol_id string, ast_node_type string, file_path string"
+
+
+def test_stream_takes_a_commit_in_parts_and_turns_that_come_again_once(spark, tmp_path):
+    def arrive(name, rows):
+        spark.createDataFrame([(*r, None, None, None) for r in rows], TURNS).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        source = spark.readStream.schema(TURNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        stream_notes(source, str(tmp_path / "notes"), str(tmp_path / "state"), HashEmbedder(4)).awaitTermination()
+        return sorted(((r["raw_content"], r["sources"][0]["commit_id"]) for r in spark.read.parquet(str(tmp_path / "notes")).collect()), key=lambda r: r[0])
+
+    arrive("1", [(1, "a", "c1", 10), (2, "b", "c1", 10), (3, "x", None, 11), (4, "b", "c1", 10)])
+    first = run()
+    assert first == [("a", "c1"), ("b", "c1"), ("b", "c1"), ("x", None)]
+    arrive("2", [(5, "c", "c1", 10), (6, "a", "c1", 10), (7, "d", "c2", 12), (8, "x", None, 11)])
+    second = run()
+    assert second == sorted([*first, ("c", "c1"), ("d", "c2"), ("x", None)], key=lambda r: r[0])
+    # the last batch runs again, as after a failure between its notes and its commit
+    (last,) = (tmp_path / "state/commits").glob("1")
+    last.unlink()
+    for crc in (tmp_path / "state/commits").glob(".1.crc"):
+        crc.unlink()
+    assert sorted(run(), key=repr) == sorted(second, key=repr)
+    ids = [r["note_id"] for r in spark.read.parquet(str(tmp_path / "notes")).collect()]
+    assert sorted(ids) == list(range(7))
+
+
+def test_touched_by_brute_force_and_without_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    found, hunks = [], []
+    for i in range(300):
+        a = rng.randrange(600)
+        found.append((rng.choice("xy"), "f", "k", f"n{i}", a, a + rng.choice([0, 3, 40, 500]), i, "C"))
+        b = rng.randrange(600)
+        hunks.append((rng.choice("xy"), "f", b, b + rng.choice([0, 1, 9, 300])))
+    found += [found[0], ("x", "f", "k", "none", None, 3, 0, "C"), ("x", "f", "k", "none", 3, None, 0, "C"), ("z", "f", "k", "alone", 0, 9, 0, "C"), ("x", None, "k", "q", 0, 9, 0, "C")]
+    hunks += [("x", "f", None, 5), ("x", "f", 5, None), ("x", None, 0, 9)]
+    hunks = hunks[::7] + hunks[-3:]
+    s = spark.createDataFrame(found, "commit_id string, path string, kind string, name string, start long, end long, preorder long, category string")
+    h = spark.createDataFrame(hunks, "commit_id string, path string, start long, end long")
+    got = sorted((r["commit_id"], r["name"]) for r in symbols.touched(s, h).collect())
+    want = sorted({(f[0], f[3]) for f in found for k in hunks if f[:2] == k[:2] and None not in (*f[:6], *k) and f[4] < k[3] and f[5] >= k[2]})
+    assert got == want and 20 < len(want) < 290
+    # one file of very many symbols and hunks: pairs would be 1.6e9
+    many = spark.range(40_000).select(F.lit("c").alias("commit_id"), F.lit("p").alias("path"), F.lit("k").alias("kind"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 2).alias("end"), F.col("id").alias("preorder"), F.lit("C").alias("category"))
+    cuts = spark.range(40_000).select(F.lit("c").alias("commit_id"), F.lit("p").alias("path"), (F.col("id") * 6).alias("start"), (F.col("id") * 6 + 1).alias("end"))
+    assert symbols.touched(many, cuts).count() == 20_000
+
+
 def test_tools_and_server(spark):
     g = MemoryGraph(spark, HashEmbedder(8))
     turns = spark.createDataFrame([(i, f"text | {i}", f"c{i}", 1_700_000_000 + i, "fn:x" if i % 2 else None, "IMPLEMENTATION") for i in range(1, 6)], "turn_id long, content string, commit_id string, timestamp long, symbol_id string, ast_node_type string")
