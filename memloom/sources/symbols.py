@@ -1,28 +1,21 @@
 """Symbols of source files, and which of them a commit changed.
 
-Python files are parsed by the standard library; for the brace languages a scanner finds
-declarations line by line and their ends by counting braces outside strings and comments.
+Python files are parsed by the standard library, the brace languages by ``grammar``.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.sources import grammar
+
 API, IMPLEMENTATION = "API_DEFINITION", "IMPLEMENTATION"
 Parser = Callable[[str], list[tuple[str, str, int, int]]]
-# The node kinds of each language's declarations that are named.
-_RUST = [("function_item", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+(\w+)"), ("struct_item", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("trait_item", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)")]
-_FUNCTION = ("function_declaration", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")
-_CLASS = ("class_declaration", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)")
-_METHOD = ("method_definition", r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*\*?\s*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(\w+)\s*\([^)]*\)\s*(?::\s*[^{]+)?\{")
-_INTERFACE = ("interface_declaration", r"^\s*(?:export\s+)?interface\s+(\w+)")
-KINDS = {"rs": _RUST, "ts": [_FUNCTION, _CLASS, _INTERFACE, _METHOD], "tsx": [_FUNCTION, _CLASS, _INTERFACE, _METHOD], "js": [_FUNCTION, _CLASS, _METHOD], "jsx": [_FUNCTION, _CLASS, _METHOD]}
 API_KINDS = {"trait_item", "interface_declaration"}
 #: Rows of a file that are swept together.
 BIN_ROWS = 128
@@ -47,39 +40,18 @@ def parse_python(source: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-_SKIPPED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
-
-
-def scanner(kinds: list[tuple[str, str]]) -> Parser:
-    patterns = [(k, re.compile(p)) for k, p in kinds]
-
-    def parse(source: str) -> list[tuple[str, str, int, int]]:
-        bare = _SKIPPED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source).split("\n")
-        out = []
-        for row, line in enumerate(bare):
-            for kind, pattern in patterns:
-                if m := pattern.match(line):
-                    depth, opened, end = 0, False, row
-                    for end in range(row, len(bare)):
-                        for c in bare[end][m.start(1) if end == row else 0 :]:
-                            if c == "{":
-                                depth, opened = depth + 1, True
-                            elif c == "}":
-                                depth -= 1
-                        if opened and depth <= 0 or not opened and ";" in bare[end]:
-                            break
-                    out.append((kind, m[1], row, end))
-                    break
-        return out
-
-    return parse
-
-
 class Registry:
     """Parsers by file extension; others can be added."""
 
     def __init__(self) -> None:
-        self.parsers: dict[str, Parser] = {"py": parse_python} | {ext: scanner(k) for ext, k in KINDS.items()}
+        self.parsers: dict[str, Parser] = {
+            "py": parse_python,
+            "rs": grammar.parse_rust,
+            "ts": grammar.script_parser(jsx=False, typed=True),
+            "tsx": grammar.script_parser(jsx=True, typed=True),
+            "js": grammar.script_parser(jsx=True, typed=False),
+            "jsx": grammar.script_parser(jsx=True, typed=False),
+        }
 
     def register(self, ext: str, parser: Parser) -> None:
         self.parsers[ext] = parser

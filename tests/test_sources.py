@@ -108,10 +108,10 @@ def test_hash_embedder_by_brute_force(spark):
             assert abs(x - (h - (1 << 64) * (h >> 63)) / 2**63) < 1e-6
 
 
-def test_scanners():
+def test_parsers_by_extension():
     r = symbols.Registry()
     rust = 'pub trait T {\n  fn f(&self);\n}\nimpl T for X {\n  fn g() { let s = "}"; }\n}\nstruct P;\n'
-    assert [(k, n) for k, n, *_ in r.get("rs")(rust)] == [("trait_item", "T"), ("function_item", "f"), ("function_item", "g"), ("struct_item", "P")]
+    assert [(k, n) for k, n, *_ in r.get("rs")(rust)] == [("trait_item", "T"), ("function_item", "g"), ("struct_item", "P")]
     ts = "export interface A {\n  x: number\n}\nclass B {\n  run(x: number): void {\n    if (x) { go(); }\n  }\n}\nfunction c() {}\n"
     assert [(k, n, a, b) for k, n, a, b in r.get("ts")(ts)] == [("interface_declaration", "A", 0, 2), ("class_declaration", "B", 3, 7), ("method_definition", "run", 4, 6), ("function_declaration", "c", 8, 8)]
     assert r.get("go") is None
