@@ -172,7 +172,6 @@ def join_block(left: list[int], right: list[int] | None, ids: list[int], sets: l
         if matches[i]:
             length = len(s) - least_shared(len(s), percent) + matches[i]
             prefix[i] = s[order[:length]][others[:length] > 0]
-    index: dict[int, list[int]] = defaultdict(list)
     up = {i: i for i in members}
 
     def root(i: int) -> int:
@@ -182,15 +181,33 @@ def join_block(left: list[int], right: list[int] | None, ids: list[int], sets: l
         return i
 
     degree, forest = defaultdict(int), []
-    for i in sorted(prefix, key=lambda i: (len(sets[i]), ids[i])):
-        n, found = len(sets[i]), defaultdict(int)
-        for token in prefix[i].tolist():
-            for j in index[token]:
-                found[j] += 1
-            index[token].append(i)
-        for j, count in found.items():
-            if count < min(matches[i], matches[j]) or len(sets[j]) * 100 < n * percent or (right is not None and side[i] == side[j]):
-                continue
+    order = sorted(prefix, key=lambda i: (len(sets[i]), ids[i]))
+    if not order:
+        return forest, degree
+    # the inverted index: entries (token, place of the set in the order), by token
+    lengths = [len(prefix[i]) for i in order]
+    token, place = np.concatenate([prefix[i] for i in order]), np.repeat(np.arange(len(order), dtype=np.int32), lengths)
+    by_token = np.lexsort((place, token))
+    token, place = token[by_token], place[by_token]
+    begins = np.searchsorted(token, token)  # where each entry's token begins
+    own = np.argsort(place, kind="stable")  # each set's entries
+    ends = np.cumsum(lengths)
+    del token, by_token
+    needed = np.array([matches[i] for i in order])
+    sizes, sides = np.array([len(sets[i]) for i in order]), np.array([side[i] for i in order])
+    for at, i in enumerate(order):
+        mine = own[ends[at] - lengths[at] : ends[at]]
+        counts = mine - begins[mine]  # of each token, the sets that come earlier
+        total = int(counts.sum())
+        if not total:
+            continue
+        flat = np.repeat(begins[mine] - np.cumsum(counts) + counts, counts) + np.arange(total)
+        found = np.bincount(place[flat], minlength=at)[:at]
+        fit = (found >= np.minimum(needed[at], needed[:at])) & (sizes[:at] * 100 >= sizes[at] * percent)
+        if right is not None:
+            fit &= sides[:at] != sides[at]
+        n = len(sets[i])
+        for j in (order[x] for x in np.flatnonzero(fit)):
             both = overlap(sets[i], sets[j])
             if 100 * both >= percent * (n + len(sets[j]) - both):
                 degree[i] += weights[j]
@@ -253,7 +270,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.table(docs.mapInArrow(_prefixes(k, percent, scored), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
     same = ["n", "d1", "d2"]
     classes = scratch.table(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("weight")).where("rep is not null"), "classes")
-    chosen = rows.join(classes, same).where("doc_id = rep")
+    chosen = rows.withColumn("rep", F.col("doc_id")).join(classes, ["rep", *same])  # by identifier, so that copies don't meet
     entries = chosen.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
     entries = scratch.table(entries, "entries")  # read twice below
     lists = entries.groupBy("h").agg((F.count("*") - 1).alias("others")).where("others > 0")
