@@ -12,7 +12,8 @@
    match is found through a Fenwick tree over positions in one document, which holds prefix
    maxima of scores corrected for the gap cost (linear in the distances in both documents).
 4. Chains, with some words around them, are aligned: extended outwards through edits while the
-   score does not drop too far, then measured by bit-parallel edit distance over words.  Where a
+   score does not drop too far, or word by word to the fewest words of a passage, then measured
+   by bit-parallel edit distance over words.  Where a
    chain is not similar as a whole, the parts of it that are are passages.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from memloom.llm.shared import BROADCAST_BYTES, Scratch, checked_broadcast, looked_up
 from memloom.llm.word_hashes import combine, slices, texts_to_words
 
-K = 5
+K = 4
 #: Chaining: cost of a word of gap in either document, and the gap at which a chain is cut.
 GAP_COST, MAX_GAP, MAX_SHIFT = 0.04, 60, 24
 #: Words around a chain that alignment may extend into.
@@ -42,8 +43,6 @@ MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys of more rows than all rows / HOT_KEYS (and 1,000) are frequent: of those there are HOT_KEYS at most.
 HOT_KEYS = 50_000
-#: Words from a seed to the farthest one it is linked with, so that both lie in 50 words.
-REACH = MIN_WORDS - K
 
 
 def seeds_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -216,11 +215,30 @@ def align(a: list[str], b: list[str], seed_a: tuple[int, int], seed_b: tuple[int
     return [(x0 + a0, x1 + a0, y0 + b0, y1 + b0, e) for x0, x1, y0, y1, e in parts(a[a0:a1], b[b0:b1], min_words, similarity, k)]
 
 
+def _differing(a: list[str], b: list[str]) -> list[int]:
+    """For each number of words from the beginning, in how many of them two lists differ."""
+    out = [0]
+    for x, y in zip(a, b):
+        out.append(out[-1] + (x != y))
+    return out
+
+
 def _filled(a: list[str], b: list[str], span: tuple[int, int, int, int], min_words: int, allowed: float) -> list[tuple[int, int, int, int, int]]:
     """A span that ends at common words, widened by different ones to so many words, if it stays similar."""
     a0, a1, b0, b1 = span
     missing = min_words - min(a1 - a0, b1 - b0)
     best: list[tuple[int, int, int, int, int]] = []
+    # word by word outwards, how many of the words differ: the least of all ways to share the missing ones out
+    left = _differing(a[max(0, a0 - missing) : a0][::-1], b[max(0, b0 - missing) : b0][::-1])
+    right = _differing(a[a1 : a1 + missing], b[b1 : b1 + missing])
+    tries = [(left[n] + right[missing - n], n) for n in range(missing + 1) if n < len(left) and missing - n < len(right)]
+    most = allowed * (max(a1 - a0, b1 - b0) + missing) + 1e-9
+    if tries and min(tries)[0] <= most:
+        n = min(tries)[1]
+        s0, s1, t0, t1 = a0 - n, a1 + missing - n, b0 - n, b1 + missing - n
+        edits = distance(a[s0:s1], b[t0:t1])
+        if edits <= most:
+            return [(s0, s1, t0, t1, edits)]
     if missing > allowed * min_words:
         return best
     for back in range(missing + 1):
@@ -327,14 +345,14 @@ def _lowered_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
 
 
-def _links(shared: DataFrame) -> DataFrame:
+def _links(shared: DataFrame, reach: int) -> DataFrame:
     """(c, own, doc_id, p1, p2): links of the seeds (h, doc_id, pos) of a document, with their keys:
-    of each seed with the next one, and with the last one up to REACH words on.  The key has the
+    of each seed with the next one, and with the last one up to ``reach`` words on.  The key has the
     link's number among the equal ones of its document; all but the first have the first one's
     key as well (own is false there)."""
     order = Window.partitionBy("doc_id").orderBy("pos")
     next_ = F.struct(F.lead("h").over(order).alias("h"), F.lead("pos").over(order).alias("pos"))
-    far = F.struct(F.last("h").over(order.rangeBetween(1, REACH)).alias("h"), F.last("pos").over(order.rangeBetween(1, REACH)).alias("pos"))
+    far = F.struct(F.last("h").over(order.rangeBetween(1, reach)).alias("h"), F.last("pos").over(order.rangeBetween(1, reach)).alias("pos"))
     links = shared.select("doc_id", "h", "pos", next_.alias("next"), far.alias("far"))
     both = F.when(F.col("far.pos") > F.col("next.pos"), F.array("next", "far")).otherwise(F.array("next"))
     links = links.select("doc_id", "h", "pos", F.explode(both).alias("next")).where(F.col("next.pos") - F.col("pos") <= MAX_GAP)
@@ -422,7 +440,8 @@ def repeated_passages(
     shared = scratch.table(_met(seeds, counts, "h", "left_semi"), "shared")
     scratch.drop(seeds)
     scratch.drop(counts)
-    links = scratch.table(_links(shared), "links")
+    # two seeds at most so far apart lie in a passage of min_words
+    links = scratch.table(_links(shared, max(1, min_words - k)), "links")
     scratch.drop(shared)
     passages = _aligned(scratch, docs, _chained(scratch, links, k), k, min_words, similarity)
     # chains of one passage that were cut apart extend to the same words
