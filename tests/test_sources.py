@@ -11,7 +11,7 @@ from memloom.api import MemoryGraph
 from memloom.cli import repository_turns
 from memloom.config import FilterConfig, SplitConfig
 from memloom.operators.embed import HashEmbedder, PandasEmbedder, embed_distinct
-from memloom.sources import git, symbols
+from memloom.sources import git, graph_json, symbols
 from memloom.streaming.ingest import stream_notes
 from memloom.tools import Tools, serve
 
@@ -202,3 +202,80 @@ def test_tools_and_server(spark):
     serve(t, io.StringIO("".join(json.dumps(a) + "\n" for a in ask) + "no json\n"), out)
     got = [json.loads(line) for line in out.getvalue().splitlines()]
     assert len(got) == 5 and len(got[1]["result"]["tools"]) == 6 and "- notes: 5" in got[2]["result"]["content"][0]["text"] and got[3]["error"]["code"] == -32601
+
+
+_GRAPH_TEXT = 'ends in },{"note_id":5}, then "note_id" },\n    {\n  "'
+
+
+def _saved_object() -> dict:
+    notes = []
+    for i in range(300):
+        text = ["note_id", "},{", _GRAPH_TEXT, '"notes":[{', "ü\u2028]} ", ""][i % 6]
+        notes.append({
+            "note_id": 3 * i, "raw_content": text, "embedding": [i / 4, 1.0], "norm": 1.5, "source_turn_ids": [i, i + 1], "source_commit_ids": [None, "c"], "source_timestamps": [7, 8],
+            "related_note_links": [[3 * ((i + 1) % 300), 0.5]] if i % 2 else [], "symbol_id": text or None, "ast_node_type": None, "file_path": "}", "structural_links": [0, 0] if i == 5 else [],
+        })
+    notes.append({**notes[7], "raw_content": "again"})
+    return {
+        "metadata": {"format_version": "other-v1", "},{": 'x"notes":['}, "notes": notes, "cluster_labels": [i % 3 for i in range(300)],
+        "cluster_centroids": {"0": [1.0, 2.0], "1": [0.5, 0.0], "2": [1e-7, 3.0]}, "cluster_centroid_norms": {"0": 1.0, "1": 0.5, "2": 3.0}, "long_range_links": [[0, 3, 0.9], [3, 6, 0.25]],
+    }
+
+
+def _shown(tables):
+    rows = {n: sorted((str(r.asDict(True)) for r in getattr(tables, n).drop("pos").collect())) for n in ("clusters", "centroids", "links", "related", "structural")}
+    notes = tables.notes.select(*sorted(tables.notes.columns))
+    return rows | {"notes": sorted(str(r.asDict(True)) for r in notes.collect()), "metadata": {k: v for k, v in tables.metadata.items() if k == "format_version"}}
+
+
+@pytest.mark.parametrize("layout", [{"separators": (",", ":")}, {"indent": 2}, {}])
+def test_saved_graph_is_read_in_byte_ranges_however_it_is_laid_out(spark, tmp_path, layout):
+    given = _saved_object()
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(given, ensure_ascii=False, **layout))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        between = graph_json.separator(spark, str(path))
+        assert between and spark.read.option("lineSep", between).text(str(path)).rdd.getNumPartitions() > 8
+        got = graph_json.load(spark, str(path))
+        notes = {r["note_id"]: r for r in got.notes.collect()}
+        assert sorted(notes) == [3 * i for i in range(300)] and notes[21]["raw_content"] == "again"
+        for n in given["notes"][8:300]:
+            row = notes[n["note_id"]]
+            assert (row["raw_content"], row["symbol_id"], list(row["embedding"])) == (n["raw_content"], n["symbol_id"], n["embedding"])
+            assert [tuple(s) for s in row["sources"]] == list(zip(n["source_turn_ids"], n["source_commit_ids"], n["source_timestamps"]))
+        assert {(r["note_id"], r["label"]) for r in got.clusters.collect()} == {(3 * i, i % 3) for i in range(300)}
+        assert {(r["a"], r["b"], r["score"]) for r in got.links.collect()} == {(0, 3, 0.9), (3, 6, 0.25)} and got.centroids.count() == 3
+        assert [tuple(r) for r in got.structural.collect()] == [(15, 0, 2)] and got.related.count() == 150
+        # written again, the file is one JSON object that says the same, with whole numbers where the format has them
+        graph_json.save(got, str(tmp_path / "again"))
+        file, = (tmp_path / "again").glob("part-*")
+        again = json.loads(file.read_text())
+        assert again["notes"][1]["related_note_links"] == [[6, 0.5]] and isinstance(again["notes"][1]["related_note_links"][0][0], int)
+        assert again["cluster_labels"] == given["cluster_labels"] and again["long_range_links"] == given["long_range_links"] and again["metadata"]["},{"] == 'x"notes":['
+        assert [n["note_id"] for n in again["notes"]] == sorted(notes) and again["notes"][5]["structural_links"] == [0, 0]
+        assert _shown(graph_json.load(spark, str(tmp_path / "again"))) == _shown(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_small_saved_graphs(spark, tmp_path, n):
+    given = _saved_object()
+    given = {**given, "notes": given["notes"][:n], "cluster_labels": [0] * n, "long_range_links": None, "cluster_centroids": None, "cluster_centroid_norms": None}
+    (tmp_path / "g.json").write_text(json.dumps(given))
+    got = graph_json.load(spark, str(tmp_path / "g.json"))
+    assert got.notes.count() == n == got.clusters.count() and got.links.count() == 0 and got.centroids.count() == 0
+    graph_json.save(got, str(tmp_path / "again"))
+    assert _shown(graph_json.load(spark, str(tmp_path / "again"))) == _shown(got)
+
+
+def test_a_broken_note_is_an_error(spark, tmp_path):
+    text = json.dumps(_saved_object(), separators=(",", ":"))
+    at = text.index('"embedding"', len(text) // 2)
+    (tmp_path / "g.json").write_text(text[:at] + text[at + 5 :])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        graph_json.load(spark, str(tmp_path / "g.json")).notes.count()
