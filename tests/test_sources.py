@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import subprocess
 
 import pytest
@@ -279,3 +280,70 @@ def test_a_broken_note_is_an_error(spark, tmp_path):
     (tmp_path / "g.json").write_text(text[:at] + text[at + 5 :])
     with pytest.raises(Exception, match="(?i)malformed"):
         graph_json.load(spark, str(tmp_path / "g.json")).notes.count()
+
+
+@pytest.fixture()
+def history(tmp_path):
+    path = tmp_path / "repo"
+    path.mkdir()
+    made = []
+
+    def commit(name, text, ts):
+        (path / name).parent.mkdir(exist_ok=True)
+        (path / name).write_text(text)
+        env = {**os.environ, "GIT_COMMITTER_DATE": f"{ts} +0000", "GIT_AUTHOR_DATE": f"{ts} +0000"}
+        run = lambda *a: subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=a@b.c", "-c", "commit.gpgsign=false", "-C", str(path), *a], check=True, capture_output=True, env=env).stdout.decode().strip()
+        if not made:
+            run("init", "-q")
+        run("add", ".")
+        run("commit", "-qm", f"m{len(made)} {name}")
+        made.append(run("rev-parse", "HEAD"))
+
+    return str(path), commit, made
+
+
+def test_filters_reach_the_git_source_and_change_neither_places_nor_the_cut(spark, history, monkeypatch):
+    path, commit, made = history
+    for i in range(12):
+        # the clock of the seventh was wrong
+        commit(["a.py", "dir/b.py", "dir/a[1].py"][i % 3], "x\n" * (i + 1), 1_700_000_000 + (i * 100 if i != 6 else -5000))
+    every = git.commits(spark, path, 10).collect()
+    for low, high in ((1_700_000_500, 1_700_001_000), (0, 1_700_000_300), (5, 4)):
+        kept = git.commits(spark, path, 10).where((F.col("ts") >= low) & (F.col("ts") < high))
+        assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in every if low <= r["ts"] < high)
+    one = git.commits(spark, path).where(F.col("commit_id") == made[4])
+    assert [r["message"].strip() for r in one.collect()] == ["m4 dir/b.py"] and one.rdd.getNumPartitions() == 1
+    hunks = git.changed(spark, path).collect()
+    for names in (["a.py"], ["dir"], ["dir/a[1].py", "a.py"], ["none"]):
+        got = git.changed(spark, path).where(F.col("path").isin(names))
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in hunks if r["path"] in names)
+
+    reader = git._HunkReader({"path": path})
+    asked = [git.EqualTo(("path",), "a.py"), git.GreaterThan(("ts",), 3), git.EqualTo(("commit_id",), made[3])]
+    assert list(reader.pushFilters(asked)) == asked[:2] and reader.paths == ["a.py"] and [p.ids for p in reader.partitions()] == [[made[3]]]
+    reader = git._CommitReader({"path": path, "commits_per_partition": "3"})
+    assert list(reader.pushFilters([git.LessThan(("ts",), 1_700_000_300)])) == [] and [p.places for p in reader.partitions()] == [[5, 9, 10], [11]]
+
+
+def test_new_commits_as_a_stream_go_on_after_a_restart(spark, history, tmp_path):
+    path, commit, made = history
+    commit("a.py", "1", 1_700_000_000)
+    commit("a.py", "2", 1_700_000_100)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run():
+        query = git.new_commits(spark, path).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return sorted((r["commit_id"], r["pos"]) for r in spark.read.parquet(out).collect())
+
+    assert run() == sorted([(made[1], 0), (made[0], 1)])
+    assert len(run()) == 2  # nothing new
+    commit("b.py", "1", 1_600_000_000)
+    assert run() == sorted([(made[1], 0), (made[0], 1), (made[2], 0)])
+    # into notes
+    turns = git.new_commits(spark, path).select(F.col("pos").alias("turn_id"), F.col("author").alias("speaker"), F.col("message").alias("content"), "commit_id", F.col("ts").alias("timestamp"), *[F.lit(None).cast("string").alias(c) for c in ("symbol_id", "ast_node_type", "file_path")])
+    table, place = str(tmp_path / "notes"), str(tmp_path / "place")
+    for expected in (3, 4):
+        stream_notes(turns, table, place).awaitTermination()
+        assert spark.read.parquet(table).select(F.explode("sources.commit_id")).distinct().count() == expected
+        commit("b.py", f"{expected}", 1_700_000_300)
