@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.config import BuildConfig, TemporalConfig
+from memloom.functions import sql
 from memloom.operators import analytics, graph, retrieve, spectral
 from memloom.operators import notes as N
 from memloom.operators.embed import Embedder, HashEmbedder, embed_distinct
@@ -159,6 +160,8 @@ class MemoryGraph:
             out.config = replace(out.config, **{k: float(t.metadata[k]) for k in ("adjacency_threshold", "alpha", "beta") if k in t.metadata})
         return out
 
-    def views(self, prefix: str = "memory") -> None:
+    def views(self, prefix: str = "memory") -> list[str]:
+        """Makes the tables views and the scores and lookups SQL functions; returns the functions' names."""
         for name in ("notes", "clusters", "centroids", "links", "related", "structural"):
             getattr(self, name).createOrReplaceTempView(f"{prefix}_{name}")
+        return sql.register(self.spark, prefix, tables=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.config import DAY, BuildConfig, TemporalConfig
-from memloom.functions import temporal, vec
+from memloom.functions import sql, temporal, vec
 from memloom.operators import analytics, graph, metric, notes as N, retrieve, spectral, views
 from memloom.operators.settle import settled
 from memloom.plans.registry import query
@@ -379,6 +379,22 @@ def r14(spark, d):
     return _shown(_query(spark, d))
 
 
+#: The ranked query in SQL: a scan, a top-k of notes, their sources, a top-k of those.
+RANKED = """
+with top as (
+  select note_id, sources, memory_keyword(memory_cosine(embedding, :q), :keyword, symbol_id, file_path) as raw
+  from {notes} order by raw desc, note_id limit 50),
+found as (select note_id, raw, pos, s.turn_id, memory_blend(raw, memory_decay_exponential(s.ts, :moment)) as final_score from top lateral view posexplode(sources) t as pos, s)
+select turn_id, note_id, round(final_score, 6) as final_score from found where final_score >= 0.2 order by found.final_score desc, raw desc, note_id, pos limit 10"""
+
+
+@query("r14_query_in_sql", f"with {_QUERY} select turn_id, note_id, {_r('final_score')} as final_score from res")
+def r14_sql(spark, d):
+    sql.register(spark)
+    vector = F.array(*map(F.lit, map(float, fx.query_vector(spark, d))))
+    return spark.sql(RANKED, args={"q": vector, "keyword": fx.KEYWORD, "moment": NOW}, notes=fx.notes(spark, d))
+
+
 @query("r15_group_by_commit", f"with {_QUERY}, g as (select commit_id, min(rank) as rank, count(*) - 1 as n from res group by commit_id) select commit_id, rank::int as rank, n::int as contextual, row_number() over (order by rank)::int as position from g")
 def r15(spark, d):
     out = retrieve.group_by_commit(retrieve.with_rank(_query(spark, d)))
