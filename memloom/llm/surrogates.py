@@ -58,6 +58,8 @@ SYLLABLES = {
     "greek": ["βα", "γαλ", "δημ", "θε", "καλ", "λα", "μαν", "νικ", "παπ", "ρα", "σταμ", "τρι", "φω", "χρι"],
 }
 SURNAME_END = {"latin": "", "cyrillic_m": "ов", "cyrillic_f": "ова", "greek_m": "ίδης", "greek_f": "ίδου"}
+#: Codes of countries have one, two or three digits, by the international numbering plan; the number follows.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})(\d{4,})$"
 _PART = "array<struct<kind:string,value:string,text:string>>"
 
 
@@ -89,7 +91,8 @@ def parts(mention: Column) -> Column:
     secret = F.array(_literal(F.regexp_extract(m, opening, 1)), _part(kind, bare, bare))
     number = _digits(m)
     number_kind = F.when(m.rlike(f"^(?:{SSN})$"), F.lit("ssn")).when(m.rlike(f"^(?:{PHONE})$"), F.lit("phone")).otherwise(F.lit("card"))
-    national = F.when((number_kind == "phone") & (F.length(number) == 11) & number.startswith("1"), F.substring(number, 2, 10)).otherwise(number)
+    abroad = F.regexp_extract(number, COUNTRY_CODE, 1)
+    national = F.when((number_kind == "phone") & m.startswith("+") & (abroad != ""), abroad).when((number_kind == "phone") & (F.length(number) == 11) & number.startswith("1"), F.substring(number, 2, 10)).otherwise(number)
     digits = F.array(_part(number_kind, national, m))
     iban = F.array(_part("iban", F.regexp_replace(m, " ", ""), m))
     title = rf"^([\p{{L}}-]+\.? )({_NAME})(?: ({_NAME}))?$"

@@ -163,6 +163,15 @@ def test_surrogates(spark):
     assert re.search(r"г-жа \w+ \w+ова и господин \w+ов; κύριος", got[3])
 
 
+def test_surrogates_keep_country_codes(spark):
+    texts = ["+49 30 1234 5678", "+49-30-1234-5678", "+420 777 123 456", "+7 495 123 4567", "+1 329 555 9184", "+998 71 123 4567", "+49 30 1234 5679"]
+    got = surrogates(spark, texts)
+    for text, new, code in zip(texts, got, ("49", "49", "420", "7", "1", "998", "49")):
+        assert new != text and new.startswith(f"+{code}{text[len(code) + 1]}") and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    digits = [re.sub(r"\D", "", t) for t in got]
+    assert digits[0] == digits[1] and len(set(digits)) == 6 and not set(digits) & {re.sub(r"\D", "", t) for t in texts}
+
+
 def test_surrogates_stay_distinct(spark):
     people = [f"Mr {a}{b}son and Herr {a}{b}{a}mann" for a in "ABCDEFGHIJKLMNOP" for b in ("al", "er", "in", "ob", "uk", "an", "est", "ilt")]
     texts = [f"{p} 10.1.{i // 200}.{i % 200 + 1} user{i}@mail{i % 3}.example.com" for i, p in enumerate(people)]
