@@ -10,8 +10,8 @@ round one lane is left and each digest lies on exactly one node.  The answers go
 lanes' runs and from there to the rows, so no digest, however frequent, meets in one task.
 
 A node sorts what it gets by digest and then aggregates equal neighbours (the identifier is
-kept in a struct, for which Spark has sort-based aggregation only); its sort takes up the order
-of the runs that arrive.  Rows are verified to be equal at every level: beside the digest they
+kept in a struct, for which Spark has sort-based aggregation only).  A shuffle doesn't keep the
+order of the runs, so each node sorts anew: the rounds are those of the tree, the merging is a sort.  Rows are verified to be equal at every level: beside the digest they
 must agree in length and in a second, independent hash of the text, else they stay apart.
 """
 
