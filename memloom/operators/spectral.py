@@ -2,8 +2,9 @@
 
 The reference point is the definition: the k smallest eigenpairs, ascending.  Small graphs are
 solved on the driver, larger ones by a block Lanczos iteration that runs until the residuals
-of all k pairs are below a tolerance.  Its matrix-vector products multiply blocks of the matrix
-with blocks of the vectors; the driver holds the small projected matrix, never the graph's.
+of all k pairs are below a tolerance.  Its matrix-vector products multiply cells of the matrix,
+of a bounded number of entries, with blocks of the vectors; the driver holds the small projected
+matrix, never the graph's.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.graph import both_ways, laplacian, normalized_weights
-from memloom.operators.settle import dropped, settled
+from memloom.operators.settle import bucketed, dropped, settled
 
 #: Nodes up to which the matrix is solved on the driver: dense, 128 MB at most.
 DENSE_NODES = 4_000
 #: Vectors of a Lanczos block beyond those asked for, vectors of the basis at which the iteration starts anew from its best ones, and the residual it ends at.
 SPARE, BASIS, TOLERANCE = 8, 320, 1e-7
-#: Nodes of a block of the matrix.
-ROWS = 4_096
+#: Nodes of a block of the matrix, and entries of a cell; a block of more entries is dealt to several cells.
+ROWS, CELL = 4_096, 2_000_000
+_ENTRIES, _BLOCK = "r long, c long, v double", "block int, i long, x array<double>"
 
 
 def canonical(vectors: np.ndarray) -> np.ndarray:
@@ -85,45 +87,114 @@ def _times(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(i[starts]), _arrays(out)], schema=names)
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    """The sums of vectors (block, i, y) by i."""
-    i, y = rows.column("i").to_numpy(), _columns(rows, "y")
-    order = np.argsort(i, kind="stable")
-    i, y = i[order], y[order]
-    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-    return pa.table([pa.array(i[starts]), _arrays(np.add.reduceat(y, starts, axis=0))], names=["i", "x"])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of vectors (block, i, y) by i, of one block of nodes; partial sums are added as they come."""
+    nodes, total = np.empty(0, np.int64), None
+    for part in batches:
+        if part.num_rows:
+            batch = part
+            i, y = batch.column("i").to_numpy(), _columns(batch, "y")
+            if total is not None:
+                i, y = np.concatenate((nodes, i)), np.vstack((total, y))
+            order = np.argsort(i, kind="stable")
+            i, y = i[order], y[order]
+            starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            nodes, total = i[starts], np.add.reduceat(y, starts, axis=0)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), batch.column("block")[0].as_py(), np.int32)), pa.array(nodes), _arrays(total)], names=["block", "i", "x"])
 
 
-def _products(df: DataFrame, left: str, right: str) -> np.ndarray:
-    """left' * right of two array columns: each partition sums its own, and only the small products leave it."""
+def _entries(m: np.ndarray) -> pa.Table:
+    return pa.table({"r": pa.array(np.repeat(np.arange(len(m)), m.shape[1])), "c": pa.array(np.tile(np.arange(m.shape[1]), len(m))), "v": pa.array(m.ravel())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = _columns(batch, left).T @ _columns(batch, right)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"r": np.repeat(np.arange(len(total)), total.shape[1]), "c": np.tile(np.arange(total.shape[1]), len(total)), "v": total.ravel()})
 
-    cells = df.select(*dict.fromkeys((left, right))).mapInArrow(run, "r long, c long, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).toArrow()
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of matrices (r, c, v); tasks add up their own, and only the small sums leave them."""
+    cells = parts.groupBy("r", "c").agg(F.sum("v").alias("v")).toArrow()
     r, c = cells.column("r").to_numpy(), cells.column("c").to_numpy()
     out = np.zeros((r.max() + 1, c.max() + 1))
     out[r, c] = cells.column("v").to_numpy()
     return out
 
 
-def _combined(df: DataFrame, columns: list[str], value, out: str) -> DataFrame:
-    """The node and ``out``, an array column made of array columns, batch by batch: value(*matrices)."""
+def _squared(df: DataFrame, column: str) -> np.ndarray:
+    """x' * x of an array column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                x = _columns(batch, column)
+                total = total + x.T @ x
+        if not np.isscalar(total):
+            yield from _entries(total).to_batches()
+
+    return _added(df.select(column).mapInArrow(run, _ENTRIES))
+
+
+def _turned(df: DataFrame, column: str, by: np.ndarray) -> DataFrame:
+    """(block, i, q): an array column times a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = value(*[_columns(batch, c) for c in columns])
-                yield pa.RecordBatch.from_pydict({"i": batch.column("i"), **{c: batch.column(c) for c in columns if c == "q" and out != "q"}, out: _arrays(made)})
+                yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "i": batch.column("i"), "q": _arrays(_columns(batch, column) @ by)})
+
+    return df.select("block", "i", column).mapInArrow(run, "block int, i long, q array<double>")
+
+
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a block, ascending, and their basis vectors, of rows (step, i, q)."""
+    step, out = rows.column("step").to_numpy(), []
+    for n in np.unique(step):
+        part = rows.filter(pa.array(step == n)).sort_by("i")
+        out.append(_columns(part, "q"))
+    return part.column("i").to_numpy(), np.hstack(out)
+
+
+def _rows(rows: pa.Table, nodes: np.ndarray, width: int) -> np.ndarray:
+    """The vectors of rows (i, x) by node; zeros for nodes without."""
+    out = np.zeros((len(nodes), width))
+    if rows.num_rows:
+        out[np.searchsorted(nodes, rows.column("i").to_numpy())] = _columns(rows, "x")
+    return out
 
-    kept = "q array<double>, " if "q" in columns and out != "q" else ""
-    return df.mapInArrow(run, f"i long, {kept}{out} array<double>")
+
+def _on_basis(basis: DataFrame, w: DataFrame, width: int, value: Callable[[np.ndarray, np.ndarray], pa.Table | np.ndarray], out: str) -> DataFrame:
+    """value(basis vectors, w) for each block of nodes, both of which are in buckets by block: nothing is shuffled."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes, q = _vectors(left)
+        made = value(q, _rows(right, nodes, width))
+        if isinstance(made, pa.Table):
+            return made
+        return pa.table({"block": pa.array(np.full(len(nodes), left.column("block")[0].as_py(), np.int32)), "i": pa.array(nodes), "x": _arrays(made)})
+
+    return basis.groupBy("block").cogroup(w.groupBy("block")).applyInArrow(run, out)
+
+
+def _cells(entries: DataFrame, blocks: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (i, j, w) of the matrix as cells (block, part): the columns of some nodes j, and as
+    many parts of their rows as CELL asks for; and the number of parts of each block."""
+    entries = settled(entries.select(_block("j", blocks), "i", "j", "w"))
+    parts = settled(entries.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("i", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    # a row for each ROWS nodes
+    cells = bucketed(entries.join(parts, "block").select("block", part, "i", "j", "w"), ["block", "part"], buckets)
+    dropped(entries)
+    return cells, parts
+
+
+def _block(node: str, blocks: int):
+    return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block")
+
+
+def _multiplied(cells: DataFrame, parts: DataFrame, vectors: DataFrame, blocks: int) -> DataFrame:
+    """The matrix times vectors (block, i, q), as (block, i, x); nodes without an entry are left out."""
+    sent = vectors.select("block", "i", F.col("q").alias("x")).join(parts, "block")
+    sent = sent.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "i", "x")
+    partial = cells.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(_times, "i long, y array<double>")
+    return partial.select(_block("i", blocks), "i", "y").groupBy("block").applyInArrow(_summed, _BLOCK)
 
 
 def _orthonormal(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,14 +212,15 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tol
     notes were added, the iteration starts from them; it ends by the same residuals.
 
     A block has more vectors than pairs are wanted, so repeated values, such as the zeros of a
-    graph of several components, are found as often as they occur.  The basis is an array
-    column by node; when it has ``most`` vectors the iteration starts anew from the best ones.
+    graph of several components, are found as often as they occur.  The basis is a table
+    with rows (block of nodes, step, node, vectors); a step reads all of it and puts its own rows
+    behind.  At ``most`` vectors the iteration starts anew from the best ones.
     """
     n = nodes.count()
     k = min(k, n)
     blocks = max(1, -(-n // ROWS))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
-    matrix = settled(both_ways(normalized_weights(edges)).select(block("j"), "j", "i", "w"))
+    buckets = min(blocks, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells, parts = _cells(both_ways(normalized_weights(edges)), blocks, buckets)
     width = min(n, k + SPARE)
     start = F.array(*[F.xxhash64("note_id", F.lit(seed + c)) / F.lit(float(1 << 63)) for c in range(width)])
     first = nodes.select("note_id", start.alias("q"))
@@ -157,33 +229,35 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tol
     if known is not None and size:
         old = known.select("note_id", F.slice("coords", 1, max(1, size)).alias("_old"))
         # nodes without coordinates get what the matrix makes of their neighbours'; the spare vectors stay random
-        met = both_ways(normalized_weights(edges)).join(old.select(F.col("note_id").alias("j"), "_old"), "j")
+        met = cells.select("i", "j", "w").join(old.select(F.col("note_id").alias("j"), "_old"), "j")
         near = met.join(old.select(F.col("note_id").alias("i")), "i", "left_anti").groupBy("i").agg(F.array(*[F.sum(F.col("w") * F.col("_old")[c]) for c in range(size)]).alias("_near"))
         first = first.join(old, "note_id", "left").join(near.withColumnRenamed("i", "note_id"), "note_id", "left")
         zeros = F.array_repeat(F.lit(0.0), size)
         first = first.select("note_id", F.concat(F.coalesce("_old", "_near", zeros), F.slice("q", size + 1, width)).alias("q"))
-    basis = settled(first.select(F.col("note_id").alias("i"), "q"))
-    u, _ = _orthonormal(_products(basis, "q", "q"))
-    basis = settled(_combined(basis, ["q"], lambda q: q @ u, "q"))
-    u, _ = _orthonormal(_products(basis, "q", "q"))  # once more, to working precision
-    basis = settled(_combined(basis, ["q"], lambda q: q @ u, "q"))
+    held = settled(first.select(_block("note_id", blocks), F.col("note_id").alias("i"), "q"))
+    u, _ = _orthonormal(_squared(held, "q"))
+    again = settled(_turned(held, "q", u))
+    u, _ = _orthonormal(_squared(again, "q"))  # once more, to working precision
+    step = 0
+
+    def put(vectors: DataFrame, behind: DataFrame | None = None) -> DataFrame:
+        return bucketed(vectors.select("block", F.lit(step).alias("step"), "i", "q"), ["block"], buckets, behind)
+
+    basis = put(_turned(again, "q", u))
+    for table in (held, again):
+        dropped(table)
     small = np.zeros((0, 0))
     size = last = u.shape[1]
     while True:
         # w = (adjacency) * (last block), less its parts along the basis, twice
-        ahead = basis.select(block("i"), "i", F.slice("q", size - last + 1, last).alias("x"))
-        partial = matrix.groupBy("block").cogroup(ahead.groupBy("block")).applyInArrow(_times, "i long, y array<double>")
-        summed = partial.select(block("i"), "i", "y").groupBy("block").applyInArrow(_summed, "i long, x array<double>")
-        zero = F.array_repeat(F.lit(0.0), last)
-        w = settled(basis.join(summed, "i", "left").select("i", "q", F.coalesce("x", zero).alias("w")))
-        h = _products(w, "q", "w")
-        less = lambda m: (lambda q, x: x - q @ m)
-        v = settled(_combined(w, ["q", "w"], less(h), "w"))
-        again = _products(v, "q", "w")
-        h = h + again
-        z = settled(_combined(v, ["q", "w"], less(again), "w"))
-        u, r = _orthonormal(_products(z, "w", "w"))
+        w = bucketed(_multiplied(cells, parts, basis.where(F.col("step") == step), blocks), ["block"], buckets)
+        h = _added(_on_basis(basis, w, last, lambda q, x: _entries(q.T @ x), _ENTRIES))
+        again = _added(_on_basis(basis, w, last, lambda q, x, h=h: _entries(q.T @ (x - q @ h)), _ENTRIES))
+        z = bucketed(_on_basis(basis, w, last, lambda q, x, h=h, again=again: x - q @ h - q @ again, _BLOCK), ["block"], buckets)
+        dropped(w)
+        u, r = _orthonormal(_squared(z, "x"))
         # the projected matrix: what was known, the new block's column, and its mirror image
+        h = h + again
         grown = np.zeros((size, size))
         grown[: len(small), : len(small)] = small
         grown[:, size - last :] = h
@@ -193,33 +267,40 @@ def lanczos_eigen(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 1, tol
         values, ritz = values[::-1], ritz[:, ::-1]  # the greatest of the adjacency are the smallest of the Laplacian
         good = min(k, size)
         residuals = np.sqrt(((r @ ritz[size - last :, :good]) ** 2).sum(0)) if len(r) else np.zeros(good)
-        for table in (w, v):
-            dropped(table)
         if progress:
             progress(size, float(residuals.max()))
         if len(r) == 0 or residuals.max() <= tolerance:
             break
         if size + len(r) > most:  # anew from the best vectors, with the block they leave over
             best = ritz[:, : min(size, most // 4)]
-            after = settled(_combined(z, ["q", "w"], lambda q, x, best=best, u=u: np.hstack([q @ best, x @ u]), "q"))
-            small = np.diag(values[: best.shape[1]])
-            size, last = best.shape[1] + len(r), len(r)
-        else:
-            after = settled(_combined(z, ["q", "w"], lambda q, x, u=u: np.hstack([q, x @ u]), "q"))
-            size, last = size + len(r), len(r)
-        for table in (basis, z):
-            dropped(table)
-        basis = after
-    at = canonical_signs(basis, ritz[:, :good])
-    coords = _combined(basis, ["q"], lambda q: q @ at, "q").select(F.col("i").alias("note_id"), F.col("q").alias("coords"))
-    return 1.0 - values[:good], coords
-
-
-def canonical_signs(basis: DataFrame, ritz: np.ndarray) -> np.ndarray:
-    """The combinations of basis vectors, turned so that each vector's largest entry is positive."""
-    vectors = _combined(basis, ["q"], lambda q: q @ ritz, "q")
+            fewer = put(_combined(basis, best))
+            dropped(basis)
+            basis, small, size = fewer, np.diag(values[: best.shape[1]]), best.shape[1]
+        step += 1
+        basis = put(_turned(z, "x", u), basis)
+        size, last = size + len(r), len(r)
+        dropped(z)
+    found = settled(_combined(basis, ritz[:, :good]).select("i", "q"))
+    for table in (basis, z, cells, parts):
+        dropped(table)
+    return 1.0 - values[:good], canonical_signs(found)
+
+
+def _combined(basis: DataFrame, by: np.ndarray) -> DataFrame:
+    """(block, i, q): the basis vectors times a matrix."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, q = _vectors(rows)
+        return pa.table({"block": pa.array(np.full(len(nodes), rows.column("block")[0].as_py(), np.int32)), "i": pa.array(nodes), "q": _arrays(q @ by)})
+
+    return basis.groupBy("block").applyInArrow(run, "block int, i long, q array<double>")
+
+
+def canonical_signs(vectors: DataFrame) -> DataFrame:
+    """(note_id, coords) of vectors (i, q), turned so that each vector's largest entry is positive."""
     rows = vectors.select("i", F.posexplode("q").alias("c", "x")).groupBy("c").agg(F.max_by("x", F.struct(F.abs("x"), -F.col("i"))).alias("x")).collect()  # a row for each vector
-    return ritz * np.array([1.0 if r["x"] >= 0 else -1.0 for r in sorted(rows, key=lambda r: r["c"])])
+    signs = [1.0 if r["x"] >= 0 else -1.0 for r in sorted(rows, key=lambda r: r["c"])]
+    return vectors.select(F.col("i").alias("note_id"), F.zip_with("q", F.array(*map(F.lit, signs)), lambda x, s: x * s).alias("coords"))
 
 
 def spectral_decomposition(nodes: DataFrame, edges: DataFrame, k: int, known: DataFrame | None = None) -> tuple[np.ndarray, DataFrame]:

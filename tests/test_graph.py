@@ -110,6 +110,38 @@ def test_lanczos_of_small_graphs(spark):
     assert np.allclose(lone, 1.0)
 
 
+def test_lanczos_in_many_cells(spark, monkeypatch):
+    """Blocks of nodes and cells of the matrix far smaller than the graph; a step writes its own vectors
+    only, whatever the basis has, and the basis meets them without a shuffle."""
+    monkeypatch.setattr(spectral, "ROWS", 16)
+    monkeypatch.setattr(spectral, "CELL", 60)
+    written, plans = [], []
+    real, meet = spectral.bucketed, spectral._on_basis
+
+    def bucketed(df, by, buckets, behind=None):
+        kept = df.persist()
+        x = next((c for c in ("q", "x") if c in df.columns), None)
+        written.append(kept.agg(F.max(F.size(x))).first()[0] if x else 0)
+        return real(kept, by, buckets, behind)
+
+    def on_basis(*args):
+        plans.append(meet(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(spectral, "bucketed", bucketed)
+    monkeypatch.setattr(spectral, "_on_basis", on_basis)
+    nodes, e = apart(spark)
+    cells, parts = spectral._cells(spectral.both_ways(spectral.normalized_weights(e)), 8, 4)
+    assert parts.agg(F.max("parts")).first()[0] > 2 and cells.count() == 2 * e.count()
+    values, _, _ = spectral.dense_eigen(nodes, e, 8)
+    other, coords = spectral.lanczos_eigen(nodes, e, 8)
+    assert np.abs(values - other).max() < 1e-6 and coords.count() == 121
+    assert len(written) > 9 and max(written) == 16
+    assert all("Exchange" not in p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for p in plans)
+    spectral.dropped(cells)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("memloom_")]
+
+
 def test_large_graphs_are_solved_alike(spark, monkeypatch):
     nodes, e = apart(spark)
     small, _ = spectral.spectral_decomposition(nodes, e, 6)
