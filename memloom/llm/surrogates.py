@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import Scratch, fresh
+from memloom.llm.shared import Scratch, fresh, looked_up
 
 #: Attempts at a surrogate, round by round; of a round's attempts a part takes the first that is free.
 ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11))
@@ -242,10 +242,9 @@ def assign(scratch: Scratch, originals: DataFrame, key: str) -> DataFrame:
     return accepted.unionByName(tags)
 
 
-def _render(part: Column, names: Column) -> Column:
-    """A part's text with its surrogate: digits, or letters and digits, go into the places they have in the text."""
+def _render(part: Column, new: Column) -> Column:
+    """A part's text with its surrogate, new: digits, or letters and digits, go into the places they have in the text."""
     text, kind = part["text"], part["kind"]
-    new = F.element_at(names, F.concat_ws("|", kind, part["value"]))
     skipped = F.length(_digits(text)) - F.length(new)  # a country code stands before the surrogate
     place = lambda i, other: F.length(F.regexp_replace(F.substring(text, F.lit(1), (i + 1).cast("int")), other, ""))
 
@@ -279,11 +278,19 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "memloom") ->
     # the row itself is one column, so that its columns' names don't matter
     found = df.where(hit).select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("id"), F.split(text, ANY).alias("pieces"), mentions.alias("parts"))
     found = scratch.table(found, "found")
-    seen = found.select("id", F.explode(F.flatten("parts")).alias("p")).where("p.kind <> ''").select("id", "p.kind", "p.value").distinct()
+    mentioned = found.select("id", F.posexplode("parts").alias("mention", "ps"))
+    seen = mentioned.select("id", "mention", F.posexplode("ps").alias("nth", "p")).where("p.kind <> ''").select("id", "mention", "nth", "p.kind", "p.value")
     chosen = assign(scratch, scratch.table(seen.select("kind", "value").distinct(), "entities"), key)
-    entry = F.struct(F.concat_ws("|", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
-    names = seen.join(chosen, ["kind", "value"]).groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("names"))  # no more than a text has mentions
-    new = F.transform("parts", lambda ps: F.array_join(F.transform(ps, lambda p: _render(p, F.col("names"))), ""))
+    # a part may stand in very many texts: its rows meet its surrogate in lanes.  Back at their texts, surrogates are found by
+    # the place of their mention, each of which has at least one and two at most
+    named = looked_up(seen, scratch.table(chosen, "chosen"), ["kind", "value"], "id").repartition("id")
+    by_mention = named.groupBy("id", "mention").agg(F.collect_list(F.struct("nth", "surrogate")).alias("new"))
+    names = by_mention.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("mention", "new"))).alias("names"))  # as many as a text has mentions
+
+    def written(ps: Column, own: Column) -> Column:
+        return F.array_join(F.transform(ps, lambda p, i: _render(p, F.element_at(F.map_from_entries(own["new"]), i))), "")
+
+    new = F.zip_with("parts", "names", written)
     replaced = F.array_join(F.zip_with("pieces", new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     done = found.join(names, "id")
     columns = [replaced.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
