@@ -84,6 +84,8 @@ def chains(matches: list[tuple[int, int]], weight: float = K, cost: float = GAP_
     score + cost * (a + b) over smaller b, kept in a Fenwick tree while a grows.
     """
     points = sorted(set(matches))
+    if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(points, points[1:])):  # in order in both: all earlier ones are the prefix
+        return _cut_chains(points, *_in_order(points, weight, cost), max_gap, max_shift)
     ranks = sorted({b for _, b in points})
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(ranks) + 1)
     score, before = [0.0] * len(points), [-1] * len(points)
@@ -107,6 +109,21 @@ def chains(matches: list[tuple[int, int]], weight: float = K, cost: float = GAP_
                     tree[at] = value
                 at += at & -at
         i = j
+    return _cut_chains(points, score, before, max_gap, max_shift)
+
+
+def _in_order(points: list[tuple[int, int]], weight: float, cost: float) -> tuple[list[float], list[int]]:
+    """The score of the best chain that ends at each of points that ascend in both, and the point before."""
+    score, before, best = [0.0] * len(points), [-1] * len(points), (float("-inf"), -1)
+    for p, (a, b) in enumerate(points):
+        gain = best[0] - cost * (a + b)
+        score[p], before[p] = (weight + gain, best[1]) if gain > 0 else (weight, -1)
+        best = max(best, (score[p] + cost * (a + b), p))
+    return score, before
+
+
+def _cut_chains(points: list[tuple[int, int]], score: list[float], before: list[int], max_gap: int, max_shift: int) -> list[list[tuple[int, int]]]:
+    """The chains that scores and the points before give, best ends first, cut where they leap."""
     used, out = [False] * len(points), []
     for end in sorted(range(len(points)), key=lambda p: (-score[p], p)):
         chain, p = [], end
@@ -132,9 +149,12 @@ def _chains(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in ("head", "doc_id", "nth", "a0", "a1", "b0", "b1")}
-            for head, doc, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            found = batch.column(2)
+            at, flat = (found.offsets.to_numpy() - found.offsets[0].as_py()).tolist(), found.flatten()
+            h1, h2, p1, p2 = (flat.field(n).to_numpy().tolist() for n in ("h1", "h2", "p1", "p2"))
+            for head, doc, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at, at[1:]):
                 nth = 0
-                for chain in chains([(m[x], m[y]) for m in found for x, y in (("h1", "p1"), ("h2", "p2"))], k):
+                for chain in chains([*zip(h1[i:j], p1[i:j]), *zip(h2[i:j], p2[i:j])], k):
                     if len(chain) < least:
                         continue
                     for name, v in zip(rows, (head, doc, nth, chain[0][0], chain[-1][0] + k, chain[0][1], chain[-1][1] + k)):
@@ -145,7 +165,7 @@ def _chains(k: int, least: int):
     return run
 
 
-def extend(a: list[str], b: list[str], drop: float = 14) -> tuple[int, int]:
+def extend(a: list, b: list, drop: float = 14) -> tuple[int, int]:
     """How far two word lists run alike from their beginnings, through edits: +1 for a common word,
     -1.5 for an edit, up to the best score before it has dropped too far below it."""
     i = j = score = best = 0
@@ -172,11 +192,17 @@ def extend(a: list[str], b: list[str], drop: float = 14) -> tuple[int, int]:
     return at
 
 
-def distance(a: list[str], b: list[str]) -> int:
-    """Edit distance of two word lists, bit-parallel over the first."""
+def distance(a: list, b: list) -> int:
+    """Edit distance of two word lists, bit-parallel over the first, without what they begin and end with alike."""
+    first, last = 0, 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     if not a or not b:
         return max(len(a), len(b))
-    bits: dict[str, int] = {}
+    bits: dict = {}
     for i, w in enumerate(a):
         bits[w] = bits.get(w, 0) | 1 << i
     full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -325,16 +351,30 @@ def _widened(a: list[str], b: list[str], core: tuple[int, int, int, int], min_wo
     return None
 
 
+def _numbered(left: pa.ListArray, right: pa.ListArray) -> list[list[list[int]]]:
+    """Two columns of word lists with a number for each word, the same for equal ones."""
+    flat = [side.flatten() for side in (left, right)]
+    numbers = pa.concat_arrays(flat).dictionary_encode().indices.to_numpy()
+    out = []
+    for side, own in zip((left, right), (numbers[: len(flat[0])], numbers[len(flat[0]) :])):
+        at, words = (side.offsets.to_numpy() - side.offsets[0].as_py()).tolist(), own.tolist()
+        out.append([words[i:j] for i, j in zip(at, at[1:])])
+    return out
+
+
 def _align(min_words: int, similarity: float, k: int):
     names = ("doc_id", "other_id", "start", "end", "other_start", "other_end", "edits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for r in batch.to_pylist():
-                got = align(r["left"], r["right"], (r["a0"] - r["left_at"], r["a1"] - r["left_at"]), (r["b0"] - r["right_at"], r["b1"] - r["right_at"]), min_words, similarity, k)
-                for a0, a1, b0, b1, edits in got:
-                    rows.append((r["doc_id"], r["head"], b0 + r["right_at"], b1 + r["right_at"], a0 + r["left_at"], a1 + r["left_at"], edits))
+            sizes = pa.compute.add(pa.compute.list_value_length(batch.column("left")), pa.compute.list_value_length(batch.column("right")))
+            for i, j in slices(sizes.to_pylist(), lambda n: n, 1 << 20):
+                some = batch.slice(i, j - i)
+                places = (some.column(n).to_pylist() for n in ("head", "doc_id", "a0", "a1", "left_at", "b0", "b1", "right_at"))
+                for left, right, head, doc, p0, p1, left_at, q0, q1, right_at in zip(*_numbered(some.column("left"), some.column("right")), *places):
+                    for a0, a1, b0, b1, edits in align(left, right, (p0 - left_at, p1 - left_at), (q0 - right_at, q1 - right_at), min_words, similarity, k):
+                        rows.append((doc, head, b0 + right_at, b1 + right_at, a0 + left_at, a1 + left_at, edits))
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 

@@ -254,3 +254,36 @@ def test_passages(docs, texts, none):
     assert {i for s in grams.values() if len(s) > 1 for i in s} <= found
     assert {103, 104, 110, 113} <= found and not found & {5, 6, 20, 120, 130, 131, 133, 136}
     assert chained_passages.repeated_passages(none).count() == 0 and jaccard_join.jaccard_join(none).count() == 0
+
+
+class Word(str):
+    """A word that counts how often it is hashed."""
+
+    hashed = 0
+
+    def __hash__(self):
+        Word.hashed += 1
+        return super().__hash__()
+
+
+@pytest.mark.parametrize("at", [0, 500, 999])
+def test_distance_looks_at_what_differs(at):
+    a = [Word(f"w{i}") for i in range(1000)]
+    b = [*a[:at], Word("other"), *a[at + 1 :]]
+    Word.hashed = 0
+    assert chained_passages.distance(a, b) == 1 and chained_passages.distance(a, a) == 0 and chained_passages.distance(a, a[:-3]) == 3
+    assert Word.hashed <= 6
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=30))
+def test_chains_of_matches_in_order(steps):
+    """Matches that ascend in both documents are chained alike without the tree; one that crosses them, far off, changes nothing."""
+    points, a, b = [], 0, 0
+    for x, y in steps:
+        a, b = a + x + 1, b + y + 1
+        points.append((a, b))
+    score, before = chained_passages._in_order(points, 4, 0.04)
+    assert max(score) == pytest.approx(best_chain(points, 4, 0.04)) and all(p < n for n, p in enumerate(before))
+    crossing = [(1_000_000, 5_000_000), (2_000_000, 4_000_000)]
+    assert sorted(chained_passages.chains(points, 4)) == sorted(c for c in chained_passages.chains([*points, *crossing], 4) if c[0] not in crossing)
